@@ -6,8 +6,12 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage; each has query(spark, sf_dir), and SQL where SQL can express it.
 MODULES = {
+    "op3_byte_bpe": "bpe",
     "op4_winnowing_fingerprints": "fingerprints",
     "op7_url_filters": "urls",
+    "op8_language_id": "language",
+    "op9_token_counts": "token_counts",
+    "op10_toxicity": "toxicity",
 }
 
 
