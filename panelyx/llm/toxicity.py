@@ -28,8 +28,10 @@ from .common import crc32_of_id, short_batches, table
 from .language import cached, sample, words_of
 from .words import WordCache
 
-TRAIN_DOCS, TRAIN_CHARS = 2_500, 8_000_000
-BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 8, 20.0, 60, 0.05, 1e-6
+TRAIN_DOCS, TRAIN_CHARS = 1_500, 5_000_000
+BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 20.0, 60, 0.05, 1e-7
+#: Features met less often in the sample (as pairs of a text and a word) keep a zero vector: they would only be learned by heart.
+MIN_SEEN = 8
 
 
 def features(word: str) -> list[int]:
@@ -50,7 +52,8 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class _Mean:
     """A sparse matrix of weighted means, applied forwards and backwards with gathers and ordered sums."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray):
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, n_rows: int):
+        self.n_rows, self.rows = n_rows, rows[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))]
         self.cols, self.weight, self.starts = cols, weight[:, None], np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         back = np.argsort(cols, kind="stable")
         self.rows_back, self.weight_back = rows[back], weight[back][:, None]
@@ -59,7 +62,9 @@ class _Mean:
         self.used = c[self.starts_back]
 
     def forward(self, x: np.ndarray) -> np.ndarray:
-        return _sums(x[self.cols] * self.weight, self.starts)
+        out = np.zeros((self.n_rows, x.shape[1]), np.float32)
+        out[self.rows] = _sums(x[self.cols] * self.weight, self.starts)
+        return out
 
     def backward(self, g: np.ndarray) -> np.ndarray:
         """Gradients of the used columns."""
@@ -84,15 +89,20 @@ class SubwordModel:
                 number.setdefault(w, len(number))
         feats = [features(w) for w in number]
         size = np.array([len(f) for f in feats])
-        words = _Mean(np.repeat(np.arange(len(feats)), size), np.concatenate([np.array(f) for f in feats]), np.repeat(1 / size, size).astype(np.float32))
+        seen = np.bincount(np.fromiter((number[w] for c, _ in bags for w in c), np.int64))
+        flat = np.concatenate([np.array(f) for f in feats])
+        rare = np.bincount(flat, np.repeat(seen, size), BUCKETS) < MIN_SEEN
+        keep = ~rare[flat]
+        words = _Mean(np.repeat(np.arange(len(feats)), size)[keep], flat[keep], np.repeat(1 / size, size).astype(np.float32)[keep], len(feats))
         n = np.array([len(c) for c, _ in bags])
         cols = np.fromiter((number[w] for c, _ in bags for w in c), np.int64, int(n.sum()))
         share_of = np.concatenate([np.fromiter(c.values(), float, len(c)) / sum(c.values()) for c, _ in bags])
-        texts = _Mean(np.repeat(np.arange(len(bags)), n), cols, (SCALE * share_of).astype(np.float32))
+        texts = _Mean(np.repeat(np.arange(len(bags)), n), cols, (SCALE * share_of).astype(np.float32), len(bags))
         y = np.array([v for _, v in bags])
 
         rng = np.random.default_rng(seed)
         emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        emb[np.setdiff1d(np.arange(BUCKETS), words.used)] = 0
         out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
         bias = np.zeros(2, np.float32)
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
@@ -109,8 +119,8 @@ class SubwordModel:
             g_emb[words.used] += words.backward(g_word)
             for p_, (m, v), d in zip((emb, out, bias), state, (g_emb, vec.T @ g + DECAY * out, g.sum(0)), strict=True):
                 m += 0.1 * (d - m)
-                v += 0.001 * (d * d - v)
-                p_ -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                v += 0.01 * (d * d - v)
+                p_ -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return cls(emb, out[:, 1] - out[:, 0], float(bias[1] - bias[0]))
 
     def score_words(self, words: list[str]) -> np.ndarray:
