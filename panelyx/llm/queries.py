@@ -9,6 +9,7 @@ MODULES = {
     "op3_byte_bpe": "bpe",
     "op4_winnowing_fingerprints": "fingerprints",
     "op5_simhash_near_dedup": "simhash",
+    "op6_pivot_top_k": "topk",
     "op7_url_filters": "urls",
     "op8_language_id": "language",
     "op9_token_counts": "token_counts",
