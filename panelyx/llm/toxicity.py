@@ -2,7 +2,8 @@
 
 A word's features are the word and its character n-grams of 3 to 5 (padded with "<" and ">"), hashed into BUCKETS rows
 of an embedding table; a misspelt or unseen word thus shares n-gram vectors with known ones. A word's vector is the mean
-of its features', a text's vector the mean of its words' times SCALE (toxic words are few among many), and a softmax
+of its features', a text's vector the mean of its words' times SCALE and the root of their number (toxic words are few among many, and
+the mean of many words varies less), and a softmax
 over two classes follows. Embeddings and softmax are trained together by full-batch Adam on a bounded sample: per class
 at most TRAIN_DOCS labelled rows and TRAIN_CHARS characters, those with the smallest hashes of their id. As the model is
 linear in the mean, a text's score needs one number a word, which is cached.
@@ -28,10 +29,11 @@ from .common import crc32_of_id, short_batches, table
 from .language import cached, sample, words_of
 from .words import WordCache
 
-TRAIN_DOCS, TRAIN_CHARS = 1_500, 5_000_000
-BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 20.0, 60, 0.05, 1e-7
+#: Per class: rows, characters; rows of class 0 for each of class 1.
+TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_500, 5_000_000, 2
+BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 60, 0.05, 1e-4
 #: Features met less often in the sample (as pairs of a text and a word) keep a zero vector: they would only be learned by heart.
-MIN_SEEN = 8
+MIN_SEEN = 20
 
 
 def features(word: str) -> list[int]:
@@ -96,7 +98,7 @@ class SubwordModel:
         words = _Mean(np.repeat(np.arange(len(feats)), size)[keep], flat[keep], np.repeat(1 / size, size).astype(np.float32)[keep], len(feats))
         n = np.array([len(c) for c, _ in bags])
         cols = np.fromiter((number[w] for c, _ in bags for w in c), np.int64, int(n.sum()))
-        share_of = np.concatenate([np.fromiter(c.values(), float, len(c)) / sum(c.values()) for c, _ in bags])
+        share_of = np.concatenate([np.fromiter(c.values(), float, len(c)) / np.sqrt(sum(c.values())) for c, _ in bags])
         texts = _Mean(np.repeat(np.arange(len(bags)), n), cols, (SCALE * share_of).astype(np.float32), len(bags))
         y = np.array([v for _, v in bags])
 
@@ -132,7 +134,7 @@ class SubwordModel:
     def score(self, texts: list[str | None], cache: WordCache) -> list[float]:
         numbers = cache.number(words_of((t or "").lower()) for t in texts)
         s = cache.results()
-        z = [self.bias + (float(s[x].mean()) if len(x) else 0.0) for x in numbers]
+        z = [self.bias + (float(s[x].sum() / np.sqrt(len(x))) if len(x) else 0.0) for x in numbers]
         return [float(1 / (1 + np.exp(-np.clip(v, -700, 700)))) for v in z]
 
 
