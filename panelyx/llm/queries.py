@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage; each has query(spark, sf_dir), and SQL where SQL can express it.
 MODULES = {
+    "op1_packing": "packing",
     "op2_suffix_dedup": "suffix_dedup",
     "op3_byte_bpe": "bpe",
     "op4_winnowing_fingerprints": "fingerprints",

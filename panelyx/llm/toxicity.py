@@ -2,11 +2,11 @@
 
 A word's features are the word and its character n-grams of 3 to 5 (padded with "<" and ">"), hashed into BUCKETS rows
 of an embedding table; a misspelt or unseen word thus shares n-gram vectors with known ones. A word's vector is the mean
-of its features', a text's vector the mean of its words' times SCALE and the root of their number (toxic words are few among many, and
-the mean of many words varies less), and a softmax
-over two classes follows. Embeddings and softmax are trained together by full-batch Adam on a bounded sample: per class
-at most TRAIN_DOCS labelled rows and TRAIN_CHARS characters, those with the smallest hashes of their id. As the model is
-linear in the mean, a text's score needs one number a word, which is cached.
+of its features', a text's vector the mean of its words' times SCALE and the root of their number (toxic words are few
+among many, and the mean of many words varies less); a softmax over two classes follows. Embeddings and softmax are
+trained together by full-batch Adam on a bounded sample of labelled rows, those with the smallest hashes of their id: at
+most TRAIN_DOCS rows and TRAIN_CHARS characters of class 1, and NEGATIVES times that of class 0. As the model is linear
+in the mean, a text's score needs one number a word, which is cached.
 
 Results: a score for every row; a null or wordless text scores what the bias gives; a model without rows of both classes
 scores the share of class 1 (0.0 without labels). Null labels are not learned from. Null ids and repeated rows are kept;
@@ -29,9 +29,9 @@ from .common import crc32_of_id, short_batches, table
 from .language import cached, sample, words_of
 from .words import WordCache
 
-#: Per class: rows, characters; rows of class 0 for each of class 1.
+#: Rows and characters of class 1, and how many times that of class 0.
 TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_500, 5_000_000, 2
-BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 60, 0.05, 1e-4
+BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 120, 0.05, 1e-4
 #: Features met less often in the sample (as pairs of a text and a word) keep a zero vector: they would only be learned by heart.
 MIN_SEEN = 20
 
@@ -142,9 +142,10 @@ def learn(docs: DataFrame, labels: DataFrame, chosen: Column) -> SubwordModel:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from the chosen labelled rows."""
     rows: list = []
     for y in (0, 1):
-        ids = labels.filter(chosen & (F.col("toxic") == y)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-        found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most TRAIN_DOCS ids
-        rows += sample(found.withColumn("label", F.lit(y)), TRAIN_DOCS, TRAIN_CHARS)
+        most = TRAIN_DOCS if y else TRAIN_DOCS * NEGATIVES
+        ids = labels.filter(chosen & (F.col("toxic") == y)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `most` ids
+        rows += sample(found.withColumn("label", F.lit(y)), most, TRAIN_CHARS * most // TRAIN_DOCS)
     return SubwordModel.fit(sorted(rows))
 
 
