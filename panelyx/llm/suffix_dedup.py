@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
-from .common import materialise, parallelism, short_batches, table
+from .common import materialise, parallelism, short_batches, table, trim
 
 DEPTH, Q = 50, 24
 WINDOW = DEPTH - Q + 1
 HOT = 500
-CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 2_000_000, 64_000_000, 3_000_000
+CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 500_000, 16_000_000, 1_000_000
 NO_ID = 2**63 - 1
 #: Fixed odd multipliers of the code.
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -87,7 +87,7 @@ def blocks(texts: list[bytes]) -> dict[str, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    none = {k: np.zeros(0, np.int64) for k in ("text", "s", "e")} | {k: np.zeros(0, np.uint64) for k in ("key", "block")}
+    none = {k: np.zeros(0, np.int32) for k in ("text", "s", "e")} | {k: np.zeros(0, np.uint64) for k in ("key", "block")}
     parts = []
     buf = b"".join(texts)
     if len(buf) < DEPTH:
@@ -120,7 +120,7 @@ def blocks(texts: list[bytes]) -> dict[str, np.ndarray]:
     key = h[a]
     block = mix(mix(h[heads], h[heads + Q]), mix(h[last + 2], h[last + DEPTH - Q]) + (a - heads).astype(np.uint64) * np.uint64(32) + (last - heads).astype(np.uint64))
     text = np.searchsorted(ends, heads, side="right")
-    return {"text": text, "s": heads - starts[text], "e": last - starts[text], "key": key, "block": block}
+    return {"text": text.astype(np.int32), "s": (heads - starts[text]).astype(np.int32), "e": (last - starts[text]).astype(np.int32), "key": key, "block": block}
 
 
 def refine(buf: bytes, depth: int = DEPTH) -> np.ndarray:
@@ -177,6 +177,11 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def deltas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of ascending numbers, and the steps to the others."""
+    return x[:1], small(np.diff(x))
+
+
 def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, whether a group begins) of rows sorted by keys, the first one foremost."""
     order = np.lexsort(keys[::-1])
@@ -195,7 +200,7 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         at, tags, chunks = [], [], []
         for ids, tag, b in held:
-            chunks.append(b | {"text": b["text"] + len(at)})
+            chunks.append(b | {"text": b["text"] + np.int32(len(at))})
             at += ids
             tags += tag
         ids, tags = np.array(at, np.int64), np.array(tags, np.int32)
@@ -206,18 +211,26 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
         group = np.cumsum(new) - 1
         least = np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(order) else doc
         settled = doc[order] > least[group]
-        out = [(0, pickle.dumps(("settled", ids, tags, *(x[order[settled]] for x in (text, s, e)))))] if settled.any() else []
+        out = []
+        for k in np.array_split(order[settled], 16) if settled.any() else ():  # anywhere will do; evenly is better
+            out.append((len(out) * 7919 + int(key[order[0]] >> np.uint64(3)) % 7919, pickle.dumps(("settled", (ids[:0], ids), tags, text[k], s[k], e[k]))))
+        out = [(b % buckets, blob) for b, blob in out]
         keep = order[~settled]  # sorted by key
         of = (key[keep] >> np.uint64(48)).astype(np.int64) * buckets >> 16
         cut = np.searchsorted(of, np.arange(buckets + 1))
+        id_order = np.argsort(ids, kind="stable")
+        by_id = np.empty(len(ids), np.int64)
+        by_id[id_order] = np.arange(len(ids))
         for b in range(buckets):
             k = keep[cut[b] : cut[b + 1]]
             if len(k):
-                used, local = np.unique(text[k], return_inverse=True)
-                out.append((b, pickle.dumps(("records", ids[used], small(tags[used]), small(local), small(s[k]), small(e[k] - s[k]), six(key[k]), six(block[k])))))
+                used, local = np.unique(by_id[text[k]], return_inverse=True)
+                used = id_order[used]
+                out.append((b, pickle.dumps(("records", deltas(ids[used]), small(tags[used]), small(local), small(s[k]), small(e[k] - s[k]), six(key[k]), six(block[k])))))
         if out:
             where, blobs = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            for lo in range(0, len(where), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(where[lo : lo + 64], pa.int32()), pa.array(blobs[lo : lo + 64], pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, got = [], 0
@@ -228,8 +241,11 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
             if got >= FLUSH_BYTES:
                 yield from flush(held)
                 held, got = [], 0
+                trim()
         if held:
             yield from flush(held)
+        del held
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
 
@@ -246,6 +262,7 @@ def meet(located: DataFrame) -> DataFrame:
         out, rows = [], []
         for blob in f.blob:
             kind, ids, tags, local, s, x, *codes_ = pickle.loads(blob)
+            ids = np.concatenate([ids[0], ids[0][-1:] + np.cumsum(ids[1], dtype=np.int64)]) if len(ids[0]) else ids[1]
             if kind == "settled":
                 out.append((ids[local], tags[local], s, x, np.zeros(len(s), np.uint64), np.zeros(len(s), np.int8)))
             else:
@@ -268,6 +285,8 @@ def meet(located: DataFrame) -> DataFrame:
             keep = order[kind != 3]
             out.append((doc[keep], tag[keep], s[keep], e[keep], key[keep], kind[kind != 3]))
         cols = [np.concatenate([o[i] for o in out]) for i in range(6)] if out else [[]] * 6
+        del rows, out
+        trim()
         return pd.DataFrame({"doc_id": np.asarray(cols[0], np.int64), "tag": np.asarray(cols[1], np.int32), "s": np.asarray(cols[2], np.int32), "e": np.asarray(cols[3], np.int32), "key": np.asarray(cols[4], np.uint64).view(np.int64), "kind": np.asarray(cols[5], np.int8)})
 
     return located.groupBy("bucket").applyInPandas(run, "doc_id long, tag int, s int, e int, key long, kind byte")
@@ -295,7 +314,7 @@ def compare(keys: np.ndarray, doc: np.ndarray, raw: list[bytes]) -> list[tuple[i
 def duplicate_windows(docs: DataFrame) -> DataFrame:
     """docs: doc_id (never null), text. Returns (doc_id, tag, s, e): runs of windows that start in a smaller document too."""
     spark = docs.sparkSession
-    met = materialise(meet(locate(docs, min(2 * parallelism(spark), 1 << 16))), "windows")
+    met = materialise(meet(locate(docs, min(4 * parallelism(spark), 1 << 16))), "windows")
     asked = met.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "s", "e", "key", "kind")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,10 +383,11 @@ def removed_runs(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, text, runs (array of struct<tag, s, e>, null: none); null ids come as NO_ID."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    runs = duplicate_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "s", "e")).alias("runs"))
-    return docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    """docs: doc_id, text and any others. Adds `runs` (array of struct<tag, s, e>; null: none)."""
+    key, name = F.coalesce("doc_id", F.lit(NO_ID)), "runs"
+    runs = duplicate_windows(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "s", "e")).alias(name))
+    runs = runs.withColumnRenamed("doc_id", "run_of")
+    return docs.join(runs, key == F.col("run_of"), "left").select(*[docs[c] for c in docs.columns], runs[name])
 
 
 def cut(text: str | None, runs: list | None) -> tuple[bytes, list[tuple[int, int]], bytes]:
@@ -389,17 +409,36 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         kind = pa.struct([("from", pa.int64()), ("to", pa.int64())])
         for b in batches:
             got = [cut(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([None if i == NO_ID else i for i in b.column(0).to_pylist()], pa.int64()),
-                    pa.array([len(x[0]) for x in got], pa.int64()),
-                    pa.array([[{"from": f, "to": t} for f, t in x[1]] for x in got], pa.list_(kind)),
-                    pa.array([x[2] for x in got], pa.binary()),
-                ],
-                names=["doc_id", "n_bytes", "spans", "kept"],
-            )
+            spans = pa.array([[{"from": f, "to": t} for f, t in x[1]] for x in got], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x[0]) for x in got], pa.int64()), spans, pa.array([x[2] for x in got], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    return with_runs(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
+
 
-    return with_runs(docs).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
+def strip_repeats(docs: DataFrame, size_col: str | None = None) -> DataFrame:
+    """The same columns, text without what is removed (and without characters that a removal cut), size_col its new length.
+
+    A document of which nothing is left goes; one that was empty before stays.
+    """
+    short_batches(docs.sparkSession)
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = [], []
+            for t, r in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                raw, gone, kept = cut(t, r)
+                texts.append(kept.decode("utf-8", "ignore") if gone else t)
+                keep.append(bool(kept) or not raw)
+            cols = list(b.columns[: len(names)])
+            cols[at] = pa.array(texts, pa.string())
+            if size_col in names:
+                n = names.index(size_col)
+                cols[n] = pa.array([None if t is None else len(t) for t in texts], cols[n].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return with_runs(docs).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
