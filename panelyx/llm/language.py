@@ -154,6 +154,21 @@ def predict_language(docs: DataFrame, model: BackoffModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: BackoffModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs (all its columns) whose language is found with at least this probability."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+    key = f"language-{id(shared)}-{spark.sparkContext.applicationId}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = shared.value.predict(b.column(at).to_pylist(), cached(key, shared.value))
+            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict_language(docs, learn(docs, ~held_out()))

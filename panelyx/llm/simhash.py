@@ -224,6 +224,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each class: the one of the smallest id. Rows of one id count as one document, of which one row stays."""
+    found = near_duplicates(docs)
+    losers = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("loser")).distinct()
+    kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["loser"]), "left_anti")
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

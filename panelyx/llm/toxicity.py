@@ -15,6 +15,7 @@ an empty table gives an empty result; other columns are ignored. Whole texts are
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -31,7 +32,7 @@ from .words import WordCache
 
 #: Rows and characters of class 1, and how many times that of class 0.
 TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_500, 5_000_000, 2
-BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 120, 0.05, 1e-4
+BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 120, 0.05, 3e-5
 #: Features met less often in the sample (as pairs of a text and a word) keep a zero vector: they would only be learned by heart.
 MIN_SEEN = 20
 
@@ -57,7 +58,7 @@ class _Mean:
     def __init__(self, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, n_rows: int):
         self.n_rows, self.rows = n_rows, rows[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))]
         self.cols, self.weight, self.starts = cols, weight[:, None], np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        back = np.argsort(cols, kind="stable")
+        back = np.argsort(cols, kind="stable").astype(np.int32)
         self.rows_back, self.weight_back = rows[back], weight[back][:, None]
         c = cols[back]
         self.starts_back = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
@@ -80,27 +81,32 @@ class SubwordModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel:
-        bags = [(Counter(words_of(t.lower())), y) for t, y in rows]
-        bags = [(c, y) for c, y in bags if c]
-        share = sum(y for _, y in bags) / len(bags) if bags else 0.0
+        number: dict[str, int] = {}
+        cols, share_of, n, labels = array("i"), array("f"), [], []
+        for t, y in rows:
+            if c := Counter(words_of(t.lower())):
+                cols.extend(number.setdefault(w, len(number)) for w in c)
+                root = sum(c.values()) ** 0.5
+                share_of.extend(SCALE * v / root for v in c.values())
+                n.append(len(c))
+                labels.append(y)
+        share = sum(labels) / len(labels) if labels else 0.0
         if not 0 < share < 1:
             return cls(np.zeros((BUCKETS, DIM), np.float32), np.zeros(DIM, np.float32), 40.0 if share else -40.0)
-        number: dict[str, int] = {}
-        for c, _ in bags:
-            for w in c:
-                number.setdefault(w, len(number))
-        feats = [features(w) for w in number]
-        size = np.array([len(f) for f in feats])
-        seen = np.bincount(np.fromiter((number[w] for c, _ in bags for w in c), np.int64))
-        flat = np.concatenate([np.array(f) for f in feats])
-        rare = np.bincount(flat, np.repeat(seen, size), BUCKETS) < MIN_SEEN
+        flat, size = array("i"), array("i")
+        for w in number:
+            f = features(w)
+            flat.extend(f)
+            size.append(len(f))
+        m = len(number)
+        number.clear()
+        cols, share_of, flat, size = (np.array(x) for x in (cols, share_of, flat, size))
+        rare = np.bincount(flat, np.repeat(np.bincount(cols), size), BUCKETS) < MIN_SEEN
         keep = ~rare[flat]
-        words = _Mean(np.repeat(np.arange(len(feats)), size)[keep], flat[keep], np.repeat(1 / size, size).astype(np.float32)[keep], len(feats))
-        n = np.array([len(c) for c, _ in bags])
-        cols = np.fromiter((number[w] for c, _ in bags for w in c), np.int64, int(n.sum()))
-        share_of = np.concatenate([np.fromiter(c.values(), float, len(c)) / np.sqrt(sum(c.values())) for c, _ in bags])
-        texts = _Mean(np.repeat(np.arange(len(bags)), n), cols, (SCALE * share_of).astype(np.float32), len(bags))
-        y = np.array([v for _, v in bags])
+        words = _Mean(np.repeat(np.arange(m, dtype=np.int32), size)[keep], flat[keep], np.repeat((1 / size).astype(np.float32), size)[keep], m)
+        del flat, keep
+        texts = _Mean(np.repeat(np.arange(len(n), dtype=np.int32), n), cols, share_of, len(n))
+        y = np.array(labels)
 
         rng = np.random.default_rng(seed)
         emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -115,14 +121,14 @@ class SubwordModel:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             g = (p - hit) / len(y)
-            g_word = np.zeros((len(number), DIM), np.float32)
+            g_word = np.zeros((m, DIM), np.float32)
             g_word[texts.used] = texts.backward(g @ out.T)
             g_emb = DECAY * emb
             g_emb[words.used] += words.backward(g_word)
-            for p_, (m, v), d in zip((emb, out, bias), state, (g_emb, vec.T @ g + DECAY * out, g.sum(0)), strict=True):
-                m += 0.1 * (d - m)
+            for p_, (mean, v), d in zip((emb, out, bias), state, (g_emb, vec.T @ g + DECAY * out, g.sum(0)), strict=True):
+                mean += 0.1 * (d - mean)
                 v += 0.01 * (d * d - v)
-                p_ -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                p_ -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return cls(emb, out[:, 1] - out[:, 0], float(bias[1] - bias[0]))
 
     def score_words(self, words: list[str]) -> np.ndarray:
@@ -168,6 +174,21 @@ def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs (all its columns) whose text scores below the threshold."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+    key = f"toxicity-{id(shared)}-{spark.sparkContext.applicationId}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = shared.value.score(b.column(at).to_pylist(), cached(key, shared.value))
+            yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = score_toxicity(docs, learn(docs, labels, ~held_out()))
