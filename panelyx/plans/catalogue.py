@@ -1,4 +1,8 @@
-"""Registered queries and their oracles."""
+"""All registered queries of the reference's operators, and their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import catalogue_events, catalogue_lines
+
+QUERIES = catalogue_events.QUERIES | catalogue_lines.QUERIES
+ORACLES = catalogue_events.ORACLES | catalogue_lines.ORACLES
