@@ -387,7 +387,7 @@ def with_runs(docs: DataFrame) -> DataFrame:
     key, name = F.coalesce("doc_id", F.lit(NO_ID)), "runs"
     runs = duplicate_windows(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "s", "e")).alias(name))
     runs = runs.withColumnRenamed("doc_id", "run_of")
-    return docs.join(runs, key == F.col("run_of"), "left").select(*[docs[c] for c in docs.columns], runs[name])
+    return docs.join(runs, key == runs["run_of"], "left").select(*[docs[c] for c in docs.columns], runs[name])
 
 
 def cut(text: str | None, runs: list | None) -> tuple[bytes, list[tuple[int, int]], bytes]:
@@ -438,7 +438,8 @@ def strip_repeats(docs: DataFrame, size_col: str | None = None) -> DataFrame:
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], cols[n].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return with_runs(docs).mapInArrow(run, schema)
+    # By place, as the columns may have any names.
+    return with_runs(docs).toDF(*(f"c{i}" for i in range(len(names) + 1))).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
