@@ -314,10 +314,10 @@ def leg_returns(spark, sf):
     return ntz(book.leg_returns(_weights(spark, sf), "w", "realized").select("ts", rounded("long_leg").alias("long_leg"), rounded("short_leg").alias("short_leg")))
 
 
-@add("drawdown", f"{RETURNS}, {backtest_sql('rl', 5)}, dr AS (SELECT ts, sum(ln(1 + net / 100)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM bt) SELECT ts, {r8('exp(c - max(c) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1', 'drawdown')} FROM dr")
+@add("drawdown", f"{RETURNS}, {backtest_sql('rl', 5)}, dr AS (SELECT ts, sum(ln(1 + net / 1000)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM bt) SELECT ts, {r8('exp(c - max(c) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1', 'drawdown')} FROM dr")
 def drawdown(spark, sf):
-    """Of a book at a hundredth of its size, so that the synthetic returns stay on scale."""
-    x = _periods(spark, sf).withColumns({"net": F.col("net") / 100, "gross": F.col("gross") / 100})
+    """Of a book at a thousandth of its size, so that the synthetic returns stay on scale."""
+    x = _periods(spark, sf).withColumns({"net": F.col("net") / 1000, "gross": F.col("gross") / 1000})
     return ntz(book.with_curves(x).select("ts", rounded("drawdown").alias("drawdown")))
 
 
