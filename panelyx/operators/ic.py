@@ -58,6 +58,29 @@ def ic_summary(series: DataFrame, value: str = "ic", nw_lag: int = 0, keys: tupl
     return agg.withColumn("t_stat_ic_nw", F.col("mean_ic") / F.col("nw_se")).drop("nw_se")
 
 
+def feature_ic(cells: DataFrame, signal: str, forward: str, tradable: str | None = None, nw_lag: int = 0, min_assets: int = 6) -> DataFrame:
+    """One row: the summary of a feature's IC; with a tradable forward return also that IC and what is lost to it."""
+    row = ic_summary(ic_series(cells, signal, forward, min_assets=min_assets), nw_lag=nw_lag)
+    if tradable is None:
+        return row
+    other = ic_summary(ic_series(cells, signal, tradable, min_assets=min_assets), nw_lag=nw_lag).select(F.col("mean_ic").alias("tradable_ic"), F.col("t_stat_ic_nw").alias("tradable_t_nw"), F.lit(1).alias("one"))
+    return row.withColumn("one", F.lit(1)).join(other, "one", "left").drop("one").withColumn("haircut", 1 - div(F.col("tradable_ic"), F.col("mean_ic")))
+
+
+def decay_table(cells: DataFrame) -> DataFrame:
+    """(signal, holding, t) -> per signal: holding of the largest t, that t, t at the shortest holding, and the holding at
+    which t first falls below 1 (linearly interpolated; NULL if it never does)."""
+    w = Window.partitionBy("signal").orderBy("holding")
+    x = cells.withColumns({"t0": F.lag("t").over(w), "h0": F.lag("holding").over(w)})
+    cross = F.when((F.col("t") < 1) & (F.col("t0") >= 1), F.col("h0") + (F.col("t0") - 1) / (F.col("t0") - F.col("t")) * (F.col("holding") - F.col("h0")))
+    return x.groupBy("signal").agg(F.max_by("holding", "t").alias("peak_holding"), F.max("t").alias("peak_t"), F.min_by("t", "holding").alias("first_t"), F.min(cross).alias("decay_holding"))
+
+
+def correlation(series: DataFrame, other: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Pearson of two series on their common times."""
+    return series.select("ts", a).join(other.select("ts", b), "ts").filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(guarded_corr(a, b).alias("corr"), F.count("*").alias("n_obs"))
+
+
 def quantile_buckets(cells: DataFrame, signal: str, forward: str, n: int) -> DataFrame:
     """Adds `quantile` to paired cells: right-closed buckets between linearly interpolated edges of each time.
 

@@ -35,6 +35,11 @@ def list_symbols(universe: DataFrame, as_of=None, top_n: int | None = None) -> D
     return u.select("symbol").distinct()
 
 
+def in_window(universe: DataFrame, start, end) -> DataFrame:
+    """Snapshots whose date lies in [start, end]."""
+    return universe.filter(F.col("rebalance_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
 def turnover(universe: DataFrame) -> DataFrame:
     """(rebalance_date, previous_date, turnover): share of the snapshot before that is no longer in."""
     dates = universe.select("rebalance_date").distinct().withColumn("previous_date", F.lag("rebalance_date").over(Window.orderBy("rebalance_date"))).filter("previous_date is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue_events, catalogue_lines
+from . import catalogue_events, catalogue_lines, catalogue_studies
 
-QUERIES = catalogue_events.QUERIES | catalogue_lines.QUERIES
-ORACLES = catalogue_events.ORACLES | catalogue_lines.ORACLES
+QUERIES = catalogue_events.QUERIES | catalogue_lines.QUERIES | catalogue_studies.QUERIES
+ORACLES = catalogue_events.ORACLES | catalogue_lines.ORACLES | catalogue_studies.ORACLES

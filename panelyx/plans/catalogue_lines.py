@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bar_return, cross_section, forward_return, pct_rank, rounded
+from ..functions.columns import bar_return, cross_section, forward_return, rounded
 from ..operators import book, features, ic, panel, quality, selection, universe
 from . import frames as S
+from . import grids
 from .catalogue_events import METRICS, backtest_sql, lag, metrics_sql, rank_sql, ret, roll, show_metrics, shown, w, weights_sql
 from .frames import LINE_MEMBER, LINE_PANEL, LINE_ROWS, ntz, r8, universe_sql
 
@@ -415,29 +416,9 @@ def walk_forward_selection(spark, sf):
 
 
 def _grid(spark, sf, raw: dict, configs: list[dict], label) -> DataFrame:
-    """Scores all configurations of a sweep in one plan: a cell carries its configuration as a key."""
-    holds = sorted({c["holding"] for c in configs})
-    p = S.line_panel(spark, sf).withColumns({k: F.round(v, 10) for k, v in raw.items()} | {f"f{h}": forward_return("close", h) for h in holds})
-    ranks = S.line_universe(spark, sf, max(c["top_n"] for c in configs))
-    for n in sorted({c["top_n"] for c in configs}):
-        p = panel.member_mask(p, panel.top_of_universe(ranks, n)).withColumnRenamed("member", f"in{n}")
-    one = lambda c: F.struct(F.lit(label(c)).alias("config"), F.lit(c["transform"]).alias("transform"), F.lit(c["holding"]).alias("holding"), F.lit(c["lag"]).alias("nw"), F.when(F.col(f"in{c['top_n']}"), F.col(c["raw"])).alias("v"), F.col(f"f{c['holding']}").alias("fwd"))
-    cells = p.select("ts", "bar_id", "symbol", F.explode(F.array(*map(one, configs))).alias("x")).select("ts", "bar_id", "symbol", "x.*")
-    part = Window.partitionBy("config", "ts")
-    sig = F.when(F.col("transform") == "rank", cross_section("v", "rank", 6, part)).when(F.col("transform") == "zscore", cross_section("v", "zscore", 6, part)).otherwise(cross_section("v", "none", 6, part))
-    cells = cells.withColumn("sig", F.round(sig, 8))
-    series = ic.ic_series(cells, "sig", "fwd", keys=("config", "nw"))
-    stats = ic.ic_summary(series, keys=("config", "nw")).join(ic.newey_west(series, "ic", F.col("nw"), ("config", "nw")), ["config", "nw"], "left")
-    pr = cells.withColumn("pr", pct_rank("sig", part))
-    long, short = F.coalesce(F.col("pr") >= 0.8, F.lit(False)), F.coalesce(F.col("pr") <= 0.2, F.lit(False))
-    side = lambda m: F.when(m, 1.0 / F.count(F.when(m, 1)).over(part)).otherwise(0.0)
-    wt = pr.withColumns({"w": side(long) - side(short), "realized": F.exp("fwd") - 1})
-    # Each configuration is stepped by its own holding period.
-    wt = wt.filter(F.col("bar_id") % F.col("holding") == 0)
-    m = book.backtest_metrics(book.backtest_periods(wt, "w", "realized", 1, fee_bps=10.0, keys=("config",)), ("config",))
-    return stats.join(m, "config", "left").select(
-        "config", "n_obs", rounded("mean_ic").alias("mean_ic"), rounded(F.col("mean_ic") / F.col("nw_se"), 6).alias("t_stat_ic_nw"), rounded("sharpe_net", 6).alias("sharpe_net"), F.coalesce("n_periods", F.lit(0)).alias("n_periods")
-    )
+    p = S.line_panel(spark, sf).withColumns({k: F.round(v, 10) for k, v in raw.items()})
+    x = grids.run_grid(p, configs, label, S.line_universe(spark, sf, max(c["top_n"] for c in configs)))
+    return x.select("config", "n_obs", rounded("mean_ic").alias("mean_ic"), rounded("t_stat_ic_nw", 6).alias("t_stat_ic_nw"), rounded("sharpe_net", 6).alias("sharpe_net"), "n_periods")
 
 
 def grid_sql(cells: str) -> str:
