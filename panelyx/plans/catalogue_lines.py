@@ -94,14 +94,14 @@ def market_index(spark, sf):
 
 
 def _members(spark, sf) -> DataFrame:
-    return panel.member_mask(S.line_panel(spark, sf), S.line_universe(spark, sf))
+    return S.held(panel.member_mask(S.line_panel(spark, sf), S.line_universe(spark, sf)))
 
 
 def _betas(spark, sf) -> DataFrame:
     p = _members(spark, sf)
     m = features.market_index(p, "r", mask="member", min_assets=5)
     p = p.join(m, "ts").withColumn("beta", features.rolling_beta("r", "market", 60, 45, 0.2))
-    return p.withColumn("resid", F.col("r") - F.col("beta") * F.col("market"))
+    return S.held(p.withColumn("resid", F.col("r") - F.col("beta") * F.col("market")))
 
 
 BETA = f"""{LINE_MEMBER}, {MARKET}, j AS (SELECT m.*, mk.market FROM m JOIN mk USING (ts)),
@@ -138,7 +138,11 @@ SIGNAL = f"""{LINE_MEMBER}, sg AS (SELECT *, CASE WHEN member THEN round({skippe
 
 def _signal(spark, sf) -> DataFrame:
     p = S.with_forward(S.with_forward(S.line_panel(spark, sf).withColumn("raw", F.round(features.momentum_score("r", 5, 1), 10)), 5), 1, "fwd1")
-    return panel.member_mask(p, S.line_universe(spark, sf)).withColumn("sig", panel.in_universe("raw"))
+    return S.held(panel.member_mask(p, S.line_universe(spark, sf)).withColumn("sig", panel.in_universe("raw")))
+
+
+def _ics(spark, sf) -> DataFrame:
+    return S.held(ic.ic_series(_signal(spark, sf), "sig", "fwd"))
 
 
 @add("momentum_signal", f"""{SIGNAL}, z AS (SELECT *, CASE WHEN count(sig) OVER (PARTITION BY ts) >= 6 THEN (sig - avg(sig) OVER (PARTITION BY ts)) / nullif(stddev_pop(sig) OVER (PARTITION BY ts), 0) END AS z FROM sg)
@@ -194,7 +198,7 @@ def show_summary(x: DataFrame, *keys: str) -> DataFrame:
 
 @add("ic_spearman", f"{SIGNAL}, {pairs_sql()} SELECT ts, n_pairs, {r8('ic', 'ic')} FROM ics")
 def ic_spearman(spark, sf):
-    return ntz(ic.ic_series(_signal(spark, sf), "sig", "fwd").select("ts", "n_pairs", rounded("ic").alias("ic")))
+    return ntz(_ics(spark, sf).select("ts", "n_pairs", rounded("ic").alias("ic")))
 
 
 @add("ic_pearson", f"{SIGNAL}, {pairs_sql(rank=False)} SELECT ts, n_pairs, {r8('ic', 'ic')} FROM ics")
@@ -204,12 +208,12 @@ def ic_pearson(spark, sf):
 
 @add("ic_summary", f"{SIGNAL}, {pairs_sql()}, {summary_sql('ics', '4')} SELECT {SUMMARY} FROM sm")
 def ic_summary(spark, sf):
-    return show_summary(ic.ic_summary(ic.ic_series(_signal(spark, sf), "sig", "fwd"), nw_lag=4))
+    return show_summary(ic.ic_summary(_ics(spark, sf), nw_lag=4))
 
 
 @add("newey_west", f"{SIGNAL}, {pairs_sql()}, {summary_sql('ics', '60')} SELECT {r8('mean_ic / nw', 'nw_se')} FROM sm")
 def newey_west(spark, sf):
-    return ic.newey_west(ic.ic_series(_signal(spark, sf), "sig", "fwd"), "ic", 60).select(rounded("nw_se").alias("nw_se"))
+    return ic.newey_west(_ics(spark, sf), "ic", 60).select(rounded("nw_se").alias("nw_se"))
 
 
 HOLDS = (1, 3, 5, 10)
@@ -223,7 +227,7 @@ def ic_decay_matrix(spark, sf):
     """All cells in one job: (lookback, holding) is a group key."""
     p = S.line_panel(spark, sf).withColumns({f"m{k}": F.round(features.momentum_score("r", k), 10) for k in LOOKS} | {f"f{h}": forward_return("close", h) for h in HOLDS})
     cells = p.select("ts", F.explode(F.array(*[F.struct(F.lit(f"R{k}_H{h}").alias("config"), F.lit(max(k, h) - 1).alias("nw"), F.col(f"m{k}").alias("sig"), F.col(f"f{h}").alias("fwd")) for k in LOOKS for h in HOLDS])).alias("x")).select("ts", "x.*")
-    series = ic.ic_series(cells, "sig", "fwd", keys=("config", "nw"))
+    series = S.held(ic.ic_series(cells, "sig", "fwd", keys=("config", "nw")))
     se = ic.newey_west(series, "ic", F.col("nw"), ("config", "nw"))
     s = ic.ic_summary(series, keys=("config", "nw")).join(se, ["config", "nw"])
     return s.select("config", "n_obs", rounded("mean_ic").alias("mean_ic"), rounded(F.col("mean_ic") / F.col("nw_se"), 6).alias("t_stat_ic_nw"))
@@ -329,12 +333,12 @@ def rolling_sharpe(spark, sf):
 
 @add("rolling_ic_mean", f"{SIGNAL}, {pairs_sql()} SELECT ts, {r8('CASE WHEN count(ic) OVER (ORDER BY ts ROWS 19 PRECEDING) >= 18 THEN avg(ic) OVER (ORDER BY ts ROWS 19 PRECEDING) END', 'rolling_mean')} FROM ics")
 def rolling_ic_mean(spark, sf):
-    return ntz(book.rolling_mean_series(ic.ic_series(_signal(spark, sf), "sig", "fwd"), "ic", 20).select("ts", rounded("rolling_mean").alias("rolling_mean")))
+    return ntz(book.rolling_mean_series(_ics(spark, sf), "ic", 20).select("ts", rounded("rolling_mean").alias("rolling_mean")))
 
 
 def _beta_book(spark, sf) -> DataFrame:
     sig = _signal(spark, sf).select("ts", "symbol", "sig")
-    return book.quantile_weights(_betas(spark, sf).join(sig, ["ts", "symbol"]), "sig")
+    return S.held(book.quantile_weights(_betas(spark, sf).join(sig, ["ts", "symbol"]), "sig"))
 
 
 BOOK = f"{BETA}, sg AS (SELECT *, CASE WHEN member THEN round({skipped('sum', 'r', 5, 1)}, 10) END AS sig FROM e), {weights_sql('sg', 'wt')}"
@@ -375,7 +379,7 @@ def realized_betas(spark, sf):
 
 @add("train_test_ic", f"{SIGNAL}, {pairs_sql()}, tt AS (SELECT *, CASE WHEN ts <= TIMESTAMP '1998-12-31' THEN 'train' ELSE 'test' END AS side FROM ics), {summary_sql('tt', '4', 'side')} SELECT side, n_obs, {r8('mean_ic', 'mean_ic')}, {r8('nw', 't_stat_ic_nw', 6)} FROM sm")
 def train_test_ic(spark, sf):
-    x = selection.train_test(ic.ic_series(_signal(spark, sf), "sig", "fwd"), "1998-12-31", nw_lag=4)
+    x = selection.train_test(_ics(spark, sf), "1998-12-31", nw_lag=4)
     return x.select("side", "n_obs", rounded("mean_ic").alias("mean_ic"), rounded("t_stat_ic_nw", 6).alias("t_stat_ic_nw"))
 
 
@@ -386,7 +390,7 @@ def folds_sql(source: str, embargo: int, name: str = "fd") -> str:
 
 @add("walk_forward_ic", f"{SIGNAL}, {pairs_sql()}, v AS (SELECT * FROM ics WHERE ic IS NOT NULL), {folds_sql('v', 5)}, {summary_sql('fd', '4', 'fold')} SELECT CAST(fold AS INTEGER) AS fold, start, \"end\", n_obs, {r8('mean_ic', 'mean_ic')}, {r8('nw', 't_stat_ic_nw', 6)} FROM sm JOIN (SELECT fold, min(ts) AS start, max(ts) AS \"end\" FROM fd GROUP BY fold) USING (fold)")
 def walk_forward_ic(spark, sf):
-    x = selection.walk_forward_ic(ic.ic_series(_signal(spark, sf), "sig", "fwd"), 5, 5, 4)
+    x = selection.walk_forward_ic(_ics(spark, sf), 5, 5, 4)
     return ntz(x.select("fold", "start", "end", "n_obs", rounded("mean_ic").alias("mean_ic"), rounded("t_stat_ic_nw", 6).alias("t_stat_ic_nw")), "start", "end")
 
 
@@ -399,7 +403,7 @@ def walk_forward_sharpe(spark, sf):
 def _ic_by_lookback(spark, sf) -> DataFrame:
     p = S.with_forward(S.line_panel(spark, sf), 5).withColumns({f"m{k}": F.round(features.momentum_score("r", k), 10) for k in (3, 5, 10)})
     cells = p.select("ts", "fwd", F.explode(F.array(*[F.struct(F.lit(f"lb{k:02d}").alias("config"), F.col(f"m{k}").alias("sig")) for k in (3, 5, 10)])).alias("x")).select("ts", "fwd", "x.*")
-    return ic.ic_series(cells, "sig", "fwd", keys=("config",))
+    return S.held(ic.ic_series(cells, "sig", "fwd", keys=("config",)))
 
 
 SELECTION = f"""{LINE_PANEL}, c AS ({' UNION ALL '.join(f"SELECT ts, 'lb{k:02d}' AS config, round({roll('sum', 'r', k)}, 10) AS sig, ln(lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_id) / nullif(close, 0)) AS fwd FROM p" for k in (3, 5, 10))}),
@@ -469,7 +473,7 @@ def feature_scan(spark, sf):
     p = S.with_forward(S.line_panel(spark, sf), 5).withColumns({k: F.round(f(), 6) for k, (f, _) in FEATURES.items()})
     p = panel.member_mask(p, S.line_universe(spark, sf))
     cells = p.select("ts", "fwd", F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.when(F.col("member"), F.col(k)).alias("sig")) for k in FEATURES])).alias("x")).select("ts", "fwd", "x.*")
-    return show_summary(ic.ic_summary(ic.ic_series(cells, "sig", "fwd", keys=("feature",)), nw_lag=9, keys=("feature",)), "feature")
+    return show_summary(ic.ic_summary(S.held(ic.ic_series(cells, "sig", "fwd", keys=("feature",))), nw_lag=9, keys=("feature",)), "feature")
 
 
 @add("signal_coverage", f"""{SIGNAL}, d AS (SELECT ts, count(sig) OVER (PARTITION BY ts) AS k, abs(coalesce(sig, 0) - lag(coalesce(sig, 0)) OVER (PARTITION BY symbol ORDER BY bar_id)) AS dv FROM sg) SELECT ts, max(k) AS coverage, {r8('0.5 * coalesce(sum(dv), 0)', 'turnover_proxy', 6)} FROM d GROUP BY ts""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,21 @@ from ..operators.universe import monthly_universe
 from ..sources.tables import event_ticks, line_days
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A frame that several branches of a plan read: kept in memory or on the executors' disks, made again if lost.
+
+    Bars, not ticks, are held. Frames with the same plan share one copy; spark.catalog.clearCache() lets go of all.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def hourly_rows(spark: SparkSession, sf: str) -> DataFrame:
     return P.densify(P.tick_bars(event_ticks(spark, sf), P.HOUR), P.HOUR)
 
 
 def event_panel(spark: SparkSession, sf: str) -> DataFrame:
     """events as an hourly panel, closes carried forward; r is the one-bar log return."""
-    return P.panel(hourly_rows(spark, sf), P.HOUR).withColumn("r", bar_return("close"))
+    return held(P.panel(hourly_rows(spark, sf), P.HOUR).withColumn("r", bar_return("close")))
 
 
 def daily_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,11 +37,11 @@ def daily_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_panel(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as a daily panel; r is the one-bar log return."""
-    return P.panel(daily_rows(spark, sf), P.DAY).withColumn("r", bar_return("close"))
+    return held(P.panel(daily_rows(spark, sf), P.DAY).withColumn("r", bar_return("close")))
 
 
 def line_universe(spark: SparkSession, sf: str, top_n: int = 10) -> DataFrame:
-    return monthly_universe(daily_rows(spark, sf), top_n=top_n, lookback_days=30, min_listing_days=90, min_monthly=1000.0, min_week=1000.0)
+    return held(monthly_universe(daily_rows(spark, sf), top_n=top_n, lookback_days=30, min_listing_days=90, min_monthly=1000.0, min_week=1000.0))
 
 
 def minute_rows(spark: SparkSession, sf: str) -> DataFrame:
