@@ -117,7 +117,11 @@ def blocks(texts: list[bytes]) -> dict[str, np.ndarray]:
     heads = np.flatnonzero(ok & change)
     last = np.flatnonzero(ok & np.append(change[1:] | ~ok[1:], True))
     a = anchor[heads]
-    key = h[a]
+    # An anchor's code is the least of its window, so small codes abound: mixed once more they are even over the buckets.
+    key = h[a] * M2
+    key ^= key >> np.uint64(31)
+    key *= M1
+    key ^= key >> np.uint64(29)
     block = mix(mix(h[heads], h[heads + Q]), mix(h[last + 2], h[last + DEPTH - Q]) + (a - heads).astype(np.uint64) * np.uint64(32) + (last - heads).astype(np.uint64))
     text = np.searchsorted(ends, heads, side="right")
     return {"text": text.astype(np.int32), "s": (heads - starts[text]).astype(np.int32), "e": (last - starts[text]).astype(np.int32), "key": key, "block": block}
@@ -216,7 +220,7 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
             out.append((len(out) * 7919 + int(key[order[0]] >> np.uint64(3)) % 7919, pickle.dumps(("settled", (ids[:0], ids), tags, text[k], s[k], e[k]))))
         out = [(b % buckets, blob) for b, blob in out]
         keep = order[~settled]  # sorted by key
-        of = (key[keep] >> np.uint64(48)).astype(np.int64) * buckets >> 16
+        of = (key[keep] >> np.uint64(32)).astype(np.int64) * buckets >> 32
         cut = np.searchsorted(of, np.arange(buckets + 1))
         id_order = np.argsort(ids, kind="stable")
         by_id = np.empty(len(ids), np.int64)
@@ -314,7 +318,7 @@ def compare(keys: np.ndarray, doc: np.ndarray, raw: list[bytes]) -> list[tuple[i
 def duplicate_windows(docs: DataFrame) -> DataFrame:
     """docs: doc_id (never null), text. Returns (doc_id, tag, s, e): runs of windows that start in a smaller document too."""
     spark = docs.sparkSession
-    met = materialise(meet(locate(docs, min(4 * parallelism(spark), 1 << 16))), "windows")
+    met = materialise(meet(locate(docs, min(4 * parallelism(spark), 1 << 24))), "windows")
     asked = met.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "s", "e", "key", "kind")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
