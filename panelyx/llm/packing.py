@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
-from .common import materialise, parallelism, short_batches, table
+from .common import materialise, parallelism, short_batches, table, trim
 
 SEQUENCE, SEPARATOR = 1024, 0
 GAP, ROUNDS, SHRUNK = 0.001, 6_000, 5_000
@@ -52,12 +52,14 @@ def load_tokenizer(path: str, pattern: str | None) -> Callable[[str], np.ndarray
     A byte-level BPE file whose ids are its merge order is run by tiktoken, several times faster and with equal ids;
     any other file, and any text that fails there, by tokenizers.
     """
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(path)
+    held: list = []  # the library's own tokenizer takes much memory and is only made where it is used
 
     def slow(text: str) -> np.ndarray:
-        return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not held:
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(path))
+        return np.array(held[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -112,6 +114,7 @@ def measure(docs: DataFrame, path: str, pattern: str | None) -> DataFrame:
                 sizes.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[a : a + 4 * SEQUENCE]) for a in range(0, len(ids), 4 * SEQUENCE)])
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
-from .common import materialise, short_batches, table
+from .common import materialise, short_batches, table, trim
 from .graph import components
 
 TAU, SHINGLE, SEED = 3, 3, 42
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for ids, texts in texts_of(batches):
             fps = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 

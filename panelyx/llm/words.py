@@ -8,6 +8,8 @@ from itertools import count
 
 import numpy as np
 
+from .common import trim
+
 
 class WordCache:
     """Numbers words at first sight and computes their results in bulk; starts anew when it holds over `limit` words.
@@ -24,6 +26,12 @@ class WordCache:
         self.parts: list = []
         self.done = 0
 
+    def release(self, most: int = 50_000) -> None:
+        """At the end of a task: lets go of a large cache, as the worker may be used for other work next."""
+        if len(self.numbers) > most:
+            self.clear()
+        trim()
+
     def number(self, docs: Iterable[list]) -> list[np.ndarray]:
         """The words' numbers for each document; call results() after it."""
         if len(self.numbers) > self.limit:
