@@ -1,7 +1,8 @@
 """Language identification: word-first backoff.
 
 Fitting counts words and character n-grams (1 to 4, of words padded with "_") per language in a bounded sample of
-labelled rows: those with the smallest hashes of their id, at most TRAIN_DOCS rows and TRAIN_CHARS characters. A word of
+labelled rows: those with the smallest hashes of their id, at most TRAIN_DOCS rows and TRAIN_CHARS characters, these
+shared evenly by the languages. A word of
 the model scores its log frequency in each language (add-one smoothed). An unseen word falls back to its 4-grams; a
 place where the 4-gram is unknown falls to the 3-gram, then the 2-gram, then the single character; the word scores the
 mean over places. A text scores the sum over its words, and the probabilities follow by Bayes with equal priors.
@@ -14,6 +15,7 @@ repeated rows are kept; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,36 +25,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
-from .common import crc32_of_id, short_batches, table
+from .common import crc32_of_id, materialise, short_batches, table
 from .words import WordCache
 
 TRAIN_DOCS, TRAIN_CHARS = 6_000, 20_000_000
 #: Words and n-grams per language that the model keeps, the most frequent ones.
-MODEL_WORDS, MODEL_GRAMS = 20_000, 40_000
+MODEL_WORDS, MODEL_GRAMS = 10_000, 15_000
 UNKNOWN = "und"
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
-def sample(labelled: DataFrame, rows: int, chars: int) -> list[tuple[str, object]]:
-    """(text, label) of a bounded sample: smallest hashes of doc_id first, at most so many rows and characters (but one row)."""
-    labelled = labelled.select("doc_id", "text", "label").withColumn("h", F.xxhash64("doc_id"))
-    ids = labelled.select("h", F.char_length("text").alias("n")).orderBy("h", "n").limit(rows).collect()
-    last, total = None, 0
-    for r in ids:
-        if last is not None and total + r.n > chars:
-            break
-        last, total = r.h, total + r.n
-    if last is None:
+def first_ids(rows: DataFrame, most: int) -> DataFrame:
+    """rows: doc_id, label. The ids of the smallest hashes, at most so many; no text is read for it."""
+    return rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+
+
+def sample(docs: DataFrame, ids: DataFrame, chars: dict) -> list[tuple[str, object]]:
+    """(text, label) of the ids' rows, per label in the order of first_ids up to `chars` characters (but one row at least).
+
+    ids: doc_id, label, a bounded number. The documents are scanned once; their rows go to a table in the shared folder,
+    from which lengths are collected first, and then no more text than fits.
+    """
+    found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = materialise(found.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.char_length("text")), "sample")
+    last: dict = {}
+    for r in found.select("label", "h", "n").collect():
+        last.setdefault(r.label, []).append((r.h, r.n))
+    for label, rows in last.items():
+        rows.sort()
+        most = chars.get(label, chars.get(None, 0))
+        sums = np.cumsum([n for _, n in rows])
+        last[label] = rows[max(int(np.searchsorted(sums, most, side="right")) - 1, 0)][0]
+    if not last:
         return []
-    got = labelled.filter(F.col("h") <= last).select("text", "label").limit(2 * rows).collect()
-    return [(r.text, r.label) for r in got]
+    keep = F.lit(False)
+    for label, end in last.items():
+        keep = keep | ((F.col("label") == F.lit(label)) & (F.col("h") <= end))
+    return [(r.text, r.label) for r in found.filter(keep).select("text", "label").collect()]
 
 
 class BackoffModel:
-    """languages; words and grams: text -> row of log frequencies per language."""
+    """languages; words and grams: text -> row of `table`, which holds log frequencies per language; floor: of unknown grams."""
 
-    def __init__(self, languages: list, words: dict, grams: dict, floor: np.ndarray):
-        self.languages, self.words, self.grams, self.floor = languages, words, grams, floor
+    def __init__(self, languages: list, words: dict, grams: dict, table_: np.ndarray, floor: np.ndarray):
+        self.languages, self.words, self.grams, self.table, self.floor = languages, words, grams, table_, floor
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], words: int = MODEL_WORDS, grams: int = MODEL_GRAMS) -> BackoffModel:
@@ -66,14 +82,15 @@ class BackoffModel:
                 for g in cls.grams_of(w):
                     parts[x][g] += n
 
-        def table_of(counts: dict, most: int) -> tuple[dict, np.ndarray]:
-            kept = {k for c in counts.values() for k, n in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:most] if n > 1}
+        def table_of(counts: dict, most: int) -> tuple[list, np.ndarray, np.ndarray]:
+            kept = sorted({k for c in counts.values() for k, n in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:most] if n > 1})
             totals = np.array([sum(counts[x].values()) + len(kept) + 1 for x in languages], float)
-            return {k: np.log((np.array([counts[x][k] for x in languages]) + 1) / totals) for k in sorted(kept)}, -np.log(totals)
+            seen = np.array([[counts[x][k] for x in languages] for k in kept], float).reshape(len(kept), len(languages))
+            return kept, np.log((seen + 1) / totals), -np.log(totals)
 
-        w, _ = table_of(by, words)
-        g, floor = table_of(parts, grams)
-        return cls(languages, w, g, floor)
+        w, of_words, _ = table_of(by, words)
+        g, of_grams, floor = table_of(parts, grams)
+        return cls(languages, {k: i for i, k in enumerate(w)}, {k: i + len(w) for i, k in enumerate(g)}, np.concatenate([of_words, of_grams]).astype(np.float32), floor)
 
     @staticmethod
     def grams_of(word: str) -> Iterator[str]:
@@ -84,20 +101,23 @@ class BackoffModel:
 
     def score_words(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.languages)))
-        known, grams = self.words.get, self.grams.get
+        known, grams, rows = self.words.get, self.grams.get, self.table
         for k, w in enumerate(words):
-            row = known(w)
-            if row is None:
-                p, got, row = f"_{w}_", 0, 0
-                for i in range(len(p) - 1):
-                    for n in (4, 3, 2, 1):
-                        g = grams(p[i : i + n]) if i + n <= len(p) else None
-                        if g is not None:
-                            break
-                    row = row + (self.floor if g is None else g)
-                    got += 1
-                row = row / got
-            out[k] = row
+            i = known(w)
+            if i is not None:
+                out[k] = rows[i]
+                continue
+            p = f"_{w}_"
+            found, missed = [], 0
+            for i in range(len(p) - 1):
+                for n in (4, 3, 2, 1):
+                    g = grams(p[i : i + n]) if i + n <= len(p) else None
+                    if g is not None:
+                        found.append(g)
+                        break
+                else:
+                    missed += 1
+            out[k] = (rows[found].sum(0) + missed * self.floor) / (len(p) - 1)
         return out
 
     def predict(self, texts: list[str | None], cache: WordCache) -> tuple[list, list]:
@@ -131,8 +151,9 @@ def cached(key: str, model) -> WordCache:
 
 def learn(docs: DataFrame, chosen: Column) -> BackoffModel:
     """docs: doc_id, text, lang; learns from the chosen rows of known language."""
-    rows = docs.filter(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").alias("label"))
-    return BackoffModel.fit(sample(rows, TRAIN_DOCS, TRAIN_CHARS))
+    rows = docs.filter(chosen & F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("label"))
+    ids = first_ids(rows, TRAIN_DOCS)
+    return BackoffModel.fit(sample(docs, ids, {None: TRAIN_CHARS // max(ids.select("label").distinct().count(), 1)}))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -144,12 +165,13 @@ def predict_language(docs: DataFrame, model: BackoffModel) -> DataFrame:
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most MODEL_WORDS + MODEL_GRAMS rows a language
-    key = f"language-{id(shared)}-{spark.sparkContext.applicationId}"
+    key = f"language-{uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in texts_of(batches):
             langs, scores = shared.value.predict(texts, cached(key, shared.value))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+        cached(key, shared.value).release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -159,12 +181,13 @@ def keep_known(docs: DataFrame, model: BackoffModel, least: float = 0.5) -> Data
     spark = docs.sparkSession
     short_batches(spark)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
-    key = f"language-{id(shared)}-{spark.sparkContext.applicationId}"
+    key = f"language-{uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = shared.value.predict(b.column(at).to_pylist(), cached(key, shared.value))
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        cached(key, shared.value).release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -15,6 +15,7 @@ an empty table gives an empty result; other columns are ignored. Whole texts are
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from .bpe import texts_of
 from .common import crc32_of_id, short_batches, table
-from .language import cached, sample, words_of
+from .language import cached, first_ids, sample, words_of
 from .words import WordCache
 
 #: Rows and characters of class 1, and how many times that of class 0.
 TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_500, 5_000_000, 2
 BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 120, 0.05, 3e-5
+#: A word of frequency p weighs COMMON / (COMMON + p): frequent words say little.
+COMMON = 1e-3
 #: Features met less often in the sample (as pairs of a text and a word) keep a zero vector: they would only be learned by heart.
 MIN_SEEN = 20
 
@@ -75,18 +78,19 @@ class _Mean:
 
 
 class SubwordModel:
-    def __init__(self, embedding: np.ndarray, weight: np.ndarray, bias: float):
-        self.embedding, self.weight, self.bias = embedding, weight, bias
+    def __init__(self, embedding: np.ndarray, weight: np.ndarray, bias: float, common: dict[str, float] | None = None):
+        self.embedding, self.weight, self.bias, self.common = embedding, weight, bias, common or {}
         self.score_of = embedding @ weight * SCALE  # of each bucket, for class 1 against class 0
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel:
         number: dict[str, int] = {}
-        cols, share_of, n, labels = array("i"), array("f"), [], []
+        cols, counts, share_of, n, labels = array("i"), array("i"), array("f"), [], []
         for t, y in rows:
             if c := Counter(words_of(t.lower())):
                 cols.extend(number.setdefault(w, len(number)) for w in c)
                 root = sum(c.values()) ** 0.5
+                counts.extend(c.values())
                 share_of.extend(SCALE * v / root for v in c.values())
                 n.append(len(c))
                 labels.append(y)
@@ -99,9 +103,13 @@ class SubwordModel:
             flat.extend(f)
             size.append(len(f))
         m = len(number)
-        number.clear()
         cols, share_of, flat, size = (np.array(x) for x in (cols, share_of, flat, size))
-        rare = np.bincount(flat, np.repeat(np.bincount(cols), size), BUCKETS) < MIN_SEEN
+        times = np.bincount(cols, counts)
+        damp = (COMMON / (COMMON + times / times.sum())).astype(np.float32)
+        common = {w: float(damp[i]) for w, i in number.items() if damp[i] < 0.95}
+        number.clear()
+        share_of *= damp[cols]
+        rare = np.bincount(flat, np.repeat(np.bincount(cols), size), BUCKETS) < np.clip(len(n) // 100, 4, MIN_SEEN)
         keep = ~rare[flat]
         words = _Mean(np.repeat(np.arange(m, dtype=np.int32), size)[keep], flat[keep], np.repeat((1 / size).astype(np.float32), size)[keep], m)
         del flat, keep
@@ -129,13 +137,14 @@ class SubwordModel:
                 mean += 0.1 * (d - mean)
                 v += 0.01 * (d * d - v)
                 p_ -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        return cls(emb, out[:, 1] - out[:, 0], float(bias[1] - bias[0]))
+        return cls(emb, out[:, 1] - out[:, 0], float(bias[1] - bias[0]), common)
 
     def score_words(self, words: list[str]) -> np.ndarray:
         feats = [features(w) for w in words]
         size = np.fromiter(map(len, feats), np.int64, len(feats))
         flat = self.score_of[np.fromiter((x for f in feats for x in f), np.int64, int(size.sum()))]
-        return np.add.reduceat(flat, np.cumsum(size) - size) / size if len(words) else np.zeros(0)
+        damp = np.fromiter((self.common.get(w, 1.0) for w in words), float, len(words))
+        return np.add.reduceat(flat, np.cumsum(size) - size) / size * damp if len(words) else np.zeros(0)
 
     def score(self, texts: list[str | None], cache: WordCache) -> list[float]:
         numbers = cache.number(words_of((t or "").lower()) for t in texts)
@@ -146,12 +155,10 @@ class SubwordModel:
 
 def learn(docs: DataFrame, labels: DataFrame, chosen: Column) -> SubwordModel:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from the chosen labelled rows."""
-    rows: list = []
-    for y in (0, 1):
-        most = TRAIN_DOCS if y else TRAIN_DOCS * NEGATIVES
-        ids = labels.filter(chosen & (F.col("toxic") == y)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `most` ids
-        rows += sample(found.withColumn("label", F.lit(y)), most, TRAIN_CHARS * most // TRAIN_DOCS)
+    known = labels.filter(chosen).select("doc_id", F.col("toxic").alias("label"))
+    most = {0: TRAIN_DOCS * NEGATIVES, 1: TRAIN_DOCS}
+    ids = [first_ids(known.filter(F.col("label") == y), n) for y, n in most.items()]
+    rows = sample(docs, ids[0].unionByName(ids[1]), {y: TRAIN_CHARS * n // TRAIN_DOCS for y, n in most.items()})
     return SubwordModel.fit(sorted(rows))
 
 
@@ -164,12 +171,13 @@ def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x DIM floats
-    key = f"toxicity-{id(shared)}-{spark.sparkContext.applicationId}"
+    key = f"toxicity-{uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in texts_of(batches):
             s = shared.value.score(texts, cached(key, shared.value))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], pa.int32())})
+        cached(key, shared.value).release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -179,12 +187,13 @@ def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.5) ->
     spark = docs.sparkSession
     short_batches(spark)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
-    key = f"toxicity-{id(shared)}-{spark.sparkContext.applicationId}"
+    key = f"toxicity-{uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = shared.value.score(b.column(at).to_pylist(), cached(key, shared.value))
             yield b.filter(pa.array([x < threshold for x in scores], pa.bool_()))
+        cached(key, shared.value).release()
 
     return docs.mapInArrow(run, docs.schema)
 

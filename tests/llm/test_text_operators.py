@@ -221,10 +221,10 @@ def test_language_learns_and_backs_off():
     assert model.predict([None, "", "123 ²!"], WordCache(model.score_words)) == (["und"] * 3, [0.0] * 3)
     # A known word has its own row; an unseen one takes the mean over its places, each with the longest known n-gram.
     known = next(iter(model.words))
-    assert np.allclose(model.score_words([known])[0], model.words[known])
+    assert np.allclose(model.score_words([known])[0], model.table[model.words[known]])
     word = "zz"
     p = f"_{word}_"
-    pick = lambda i: next((model.grams[p[i : i + n]] for n in (4, 3, 2, 1) if i + n <= len(p) and p[i : i + n] in model.grams), model.floor)
+    pick = lambda i: next((model.table[model.grams[p[i : i + n]]] for n in (4, 3, 2, 1) if i + n <= len(p) and p[i : i + n] in model.grams), model.floor)
     assert np.allclose(model.score_words([word])[0], np.mean([pick(i) for i in range(len(p) - 1)], axis=0))
 
 
