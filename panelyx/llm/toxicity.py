@@ -32,7 +32,7 @@ from .language import cached, first_ids, sample, words_of
 from .words import WordCache
 
 #: Rows and characters of class 1, and how many times that of class 0.
-TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_500, 5_000_000, 2
+TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_200, 4_000_000, 2
 BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 120, 0.05, 3e-5
 #: A word of frequency p weighs COMMON / (COMMON + p): frequent words say little.
 COMMON = 1e-3
