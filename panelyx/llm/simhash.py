@@ -32,7 +32,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import texts_of
 from .common import materialise, short_batches, table, trim
 from .graph import components
 
@@ -60,17 +59,18 @@ def simhash(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, fp (the 64 bits as a signed long), row (the long of that column, if one is named)."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in texts_of(batches):
-            fps = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+        for b in batches:
+            fps = np.array([simhash(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(1)], names=["doc_id", "fp", "row"])
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    number = F.col(row) if row else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), number, "text").mapInArrow(run, "doc_id long, fp long, row long")
 
 
 # ---- the index: parts and thresholds
@@ -217,7 +217,7 @@ def link(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, fp, component_id, one row for each row of docs."""
-    marked = materialise(fingerprints(docs), "fingerprints")
+    marked = materialise(fingerprints(docs).drop("row"), "fingerprints")
     # Classes of equal fingerprints; the class of null ids only has no vertex number and stands alone by its fingerprint.
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("v")), "classes")
     roots = components(link(classes.filter("v is not null")))
@@ -226,13 +226,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one of the smallest id. Rows of one id count as one document, of which one row stays."""
-    found = near_duplicates(docs)
-    losers = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("loser")).distinct()
-    kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["loser"]), "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class: that of the smallest id, null ids last. Rows are judged each, whatever ids they share."""
+    row = "row"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    # Numbers of rows hold only once they are written.
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    marked = materialise(fingerprints(numbered, row), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("first")
+    classes = materialise(marked.groupBy("fp").agg(first), "classes")
+    # Vertices are numbered by fingerprint, so that classes of null ids and of ids met before are vertices too.
+    roots = components(link(classes.select(F.col("fp").alias("v"), "fp")))
+    named = classes.join(roots, classes["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,15 @@ def test_keep_one(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 8]
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    rng = random.Random(24)
+    a, b, c, d = (prose(rng, 50) for _ in range(4))
+    df = frame(spark, [a, a, b, a, c, d, d, c], [3, 7, 7, None, None, None, None, 8]).selectExpr("*", "'x' as row")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (7, b), (8, c), (None, d)], key=str)
+
+
 # ---- top-k search
 
 
