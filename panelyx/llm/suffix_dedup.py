@@ -19,6 +19,9 @@ Equality of blocks (88 bits and the bucket) and of hot windows (two 64-bit codes
 What moves: about 7 % of positions as records of some 18 bytes, packed in columns per bucket and task, after a task has
 dropped its own copies; the texts once, by id, for both joins.
 
+Rows of one id are told apart by a 128-bit digest of the text, which joins the id in every grouping and join (rows that
+share no id do without); equal rows get equal results.
+
 Null texts are empty; null ids count as larger than any id and not smaller than each other; rows with the same id are
 judged each, never against each other; an empty table gives an empty result; other columns are ignored. Texts are
 UTF-8 bytes; a removal may cut a character.
@@ -26,24 +29,25 @@ UTF-8 bytes; a removal may cut a character.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import texts_of
 from .common import materialise, parallelism, short_batches, table, trim
+from .words import by_bytes
 
 DEPTH, Q = 50, 24
 WINDOW = DEPTH - Q + 1
 HOT = 500
 CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 500_000, 16_000_000, 1_000_000
 NO_ID = 2**63 - 1
+#: What rows are told apart by: the id, and the digest of the text in two halves.
+KEY = ("doc_id", "t1", "t2")
 #: Fixed odd multipliers of the code.
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 LOW_POSITION = np.uint64((1 << 23) - 1)
@@ -197,8 +201,24 @@ def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def keyed(docs: DataFrame) -> list[Column]:
+    """docs: doc_id, text. The key of a row as three longs: its id, and the digest of its text where other rows may have the id."""
+    shared = F.lit(True) if not docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty() else F.col("doc_id").isNull()
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    halves = [F.when(shared, F.conv(F.substring(digest, at, 16), 16, -10).cast("long")).otherwise(F.lit(0).cast("long")) for at in (1, 17)]
+    return [F.coalesce("doc_id", F.lit(NO_ID)), *halves]
+
+
+def packed(tags: np.ndarray) -> np.ndarray | int:
+    return tags if tags.any() else len(tags)
+
+
+def unpacked(tags: np.ndarray | int) -> np.ndarray:
+    return np.zeros((tags, 2), np.int64) if isinstance(tags, int) else tags
+
+
 def locate(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs: doc_id (never null), text. Returns (bucket, blob): packed records for buckets; ranges that a task settles alone."""
+    """docs: doc_id, t1, t2 (as keyed), text. Returns (bucket, blob): packed records for buckets; ranges that a task settles alone."""
     short_batches(docs.sparkSession)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -207,7 +227,7 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
             chunks.append(b | {"text": b["text"] + np.int32(len(at))})
             at += ids
             tags += tag
-        ids, tags = np.array(at, np.int64), np.array(tags, np.int32)
+        ids, tags = np.array(at, np.int64), np.array(tags, np.int64).reshape(-1, 2)
         text, s, e, key, block = (np.concatenate([c[k] for c in chunks]) for k in ("text", "s", "e", "key", "block"))
         block &= np.uint64((1 << 48) - 1)
         doc = ids[text]
@@ -217,7 +237,8 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
         settled = doc[order] > least[group]
         out = []
         for k in np.array_split(order[settled], 16) if settled.any() else ():  # anywhere will do; evenly is better
-            out.append((len(out) * 7919 + int(key[order[0]] >> np.uint64(3)) % 7919, pickle.dumps(("settled", (ids[:0], ids), tags, text[k], s[k], e[k]))))
+            used, local = np.unique(text[k], return_inverse=True)
+            out.append((len(out) * 7919 + int(key[order[0]] >> np.uint64(3)) % 7919, pickle.dumps(("settled", (ids[:0], ids[used]), packed(tags[used]), small(local), s[k], e[k]))))
         out = [(b % buckets, blob) for b, blob in out]
         keep = order[~settled]  # sorted by key
         of = (key[keep] >> np.uint64(32)).astype(np.int64) * buckets >> 32
@@ -230,7 +251,7 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
             if len(k):
                 used, local = np.unique(by_id[text[k]], return_inverse=True)
                 used = id_order[used]
-                out.append((b, pickle.dumps(("records", deltas(ids[used]), small(tags[used]), small(local), small(s[k]), small(e[k] - s[k]), six(key[k]), six(block[k])))))
+                out.append((b, pickle.dumps(("records", deltas(ids[used]), packed(tags[used]), small(local), small(s[k]), small(e[k] - s[k]), six(key[k]), six(block[k])))))
         if out:
             where, blobs = zip(*out, strict=True)
             for lo in range(0, len(where), 64):
@@ -238,9 +259,10 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, got = [], 0
-        for ids, texts in texts_of(batches, CHUNK_BYTES):
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            held.append((ids, [tag_of(t) for t in raw], blocks(raw)))
+        rows = ((i, (t1, t2), (t or "").encode("utf-8", "surrogatepass")) for b in batches for i, t1, t2, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for group in by_bytes(rows, lambda x: len(x[2]), CHUNK_BYTES):
+            ids, tags, raw = map(list, zip(*group, strict=True))
+            held.append((ids, tags, blocks(raw)))
             got += sum(map(len, raw))
             if got >= FLUSH_BYTES:
                 yield from flush(held)
@@ -251,28 +273,27 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
         del held
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
-
-
-def tag_of(raw: bytes) -> int:
-    """Tells rows of the same id apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "little")
+    return docs.select(*KEY, "text").mapInArrow(run, "bucket int, blob binary")
 
 
 def meet(located: DataFrame) -> DataFrame:
-    """Returns (doc_id, tag, s, e, key, kind): windows s..e are settled (kind 0), or to be compared (1), or hot (2)."""
+    """Returns (doc_id, t1, t2, s, e, key, kind): windows s..e are settled (kind 0), or to be compared (1), or hot (2)."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out, rows = [], []
         for blob in f.blob:
             kind, ids, tags, local, s, x, *codes_ = pickle.loads(blob)
             ids = np.concatenate([ids[0], ids[0][-1:] + np.cumsum(ids[1], dtype=np.int64)]) if len(ids[0]) else ids[1]
+            tags = unpacked(tags)
             if kind == "settled":
                 out.append((ids[local], tags[local], s, x, np.zeros(len(s), np.uint64), np.zeros(len(s), np.int8)))
             else:
                 rows.append((ids[local], tags[local], s.astype(np.int64), s.astype(np.int64) + x, unsix(codes_[0]), unsix(codes_[1])))
         if rows:
             doc, tag, s, e, key, block = (np.concatenate([r[i] for r in rows]) for i in range(6))
+            if tag.any():  # equal rows have equal records: one of each is enough
+                order, new = grouped(doc, tag[:, 0], tag[:, 1], s)
+                doc, tag, s, e, key, block = (x[order[new]] for x in (doc, tag, s, e, key, block))
             order, new = grouped(key, block)
             heads = np.flatnonzero(new)
             least = np.minimum.reduceat(doc[order], heads)
@@ -291,9 +312,10 @@ def meet(located: DataFrame) -> DataFrame:
         cols = [np.concatenate([o[i] for o in out]) for i in range(6)] if out else [[]] * 6
         del rows, out
         trim()
-        return pd.DataFrame({"doc_id": np.asarray(cols[0], np.int64), "tag": np.asarray(cols[1], np.int32), "s": np.asarray(cols[2], np.int32), "e": np.asarray(cols[3], np.int32), "key": np.asarray(cols[4], np.uint64).view(np.int64), "kind": np.asarray(cols[5], np.int8)})
+        tag = np.asarray(cols[1], np.int64).reshape(-1, 2)
+        return pd.DataFrame({"doc_id": np.asarray(cols[0], np.int64), "t1": tag[:, 0], "t2": tag[:, 1], "s": np.asarray(cols[2], np.int32), "e": np.asarray(cols[3], np.int32), "key": np.asarray(cols[4], np.uint64).view(np.int64), "kind": np.asarray(cols[5], np.int8)})
 
-    return located.groupBy("bucket").applyInPandas(run, "doc_id long, tag int, s int, e int, key long, kind byte")
+    return located.groupBy("bucket").applyInPandas(run, "doc_id long, t1 long, t2 long, s int, e int, key long, kind byte")
 
 
 def compare(keys: np.ndarray, doc: np.ndarray, raw: list[bytes]) -> list[tuple[int, int, int]]:
@@ -316,20 +338,21 @@ def compare(keys: np.ndarray, doc: np.ndarray, raw: list[bytes]) -> list[tuple[i
 
 
 def duplicate_windows(docs: DataFrame) -> DataFrame:
-    """docs: doc_id (never null), text. Returns (doc_id, tag, s, e): runs of windows that start in a smaller document too."""
+    """docs: doc_id, t1, t2 (as keyed), text. Returns (doc_id, t1, t2, s, e): runs of windows that start in a smaller document too."""
     spark = docs.sparkSession
     met = materialise(meet(locate(docs, min(4 * parallelism(spark), 1 << 24))), "windows")
-    asked = met.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "s", "e", "key", "kind")).alias("asked"))
+    asked = met.filter("kind > 0").groupBy(*KEY).agg(F.collect_set(F.struct("s", "e", "key", "kind")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "tag", "s", "key", "kind", "raw", "c1", "c2")}
-            for d, t, asks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                tag, h = tag_of(raw), None
+            out: dict[str, list] = {k: [] for k in (*KEY, "s", "key", "kind", "raw", "c1", "c2")}
+            for d, t1, t2, t, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last == (d, t1, t2):  # an equal row; others of them may lie elsewhere, which does no harm
+                    continue
+                last = (d, t1, t2)
+                raw, h = (t or "").encode("utf-8", "surrogatepass"), None
                 for a in asks:
-                    if a["tag"] != tag:
-                        continue
                     if a["kind"] == 1:
                         out["raw"].append(raw[a["s"] : a["e"] + DEPTH])
                         w = [(a["s"], None, None)]
@@ -340,36 +363,38 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
                         w = list(zip(p.tolist(), mix(x, h[p + DEPTH - Q]).view(np.int64).tolist(), mix(h[p + DEPTH - Q] * M3, x + M2).view(np.int64).tolist(), strict=True))
                         out["raw"] += [None] * len(w)
                     for s, c1, c2 in w:
-                        for k, v in (("doc_id", d), ("tag", tag), ("s", s), ("key", a["key"]), ("kind", a["kind"]), ("c1", c1), ("c2", c2)):
+                        for k, v in (("doc_id", d), ("t1", t1), ("t2", t2), ("s", s), ("key", a["key"]), ("kind", a["kind"]), ("c1", c1), ("c2", c2)):
                             out[k].append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("tag", pa.int32()), ("s", pa.int32()), ("key", pa.int64()), ("kind", pa.int8()), ("raw", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64()))],
-                names=list(("doc_id", "tag", "s", "key", "kind", "raw", "c1", "c2")),
+                [pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("s", pa.int32()), ("key", pa.int64()), ("kind", pa.int8()), ("raw", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64()))],
+                names=[*KEY, "s", "key", "kind", "raw", "c1", "c2"],
             )
 
     fetched = materialise(
-        docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(fetch, "doc_id long, tag int, s int, key long, kind byte, raw binary, c1 long, c2 long"), "blocks"
+        docs.join(asked, [*KEY]).select(*KEY, "text", "asked").mapInArrow(fetch, "doc_id long, t1 long, t2 long, s int, key long, kind byte, raw binary, c1 long, c2 long"), "blocks"
     )
 
     def refined(f: pd.DataFrame) -> pd.DataFrame:
+        if f.t1.any():
+            f = f.drop_duplicates([*KEY, "s", "key"])
         f = f.sort_values("key", kind="stable")
-        keys, doc, tag, s, raw = f["key"].to_numpy(), f.doc_id.to_numpy(), f.tag.to_numpy(), f.s.to_numpy(), [bytes(x) for x in f.raw]
+        keys, doc, t1, t2, s, raw = f["key"].to_numpy(), f.doc_id.to_numpy(), f.t1.to_numpy(), f.t2.to_numpy(), f.s.to_numpy(), [bytes(x) for x in f.raw]
         out, lo = [], 0
         size = np.cumsum([len(r) for r in raw])
         while lo < len(f):  # whole keys, about REFINE_BYTES at a time
             hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + REFINE_BYTES, side="right"))
             hi = int(np.searchsorted(keys, keys[max(hi - 1, lo)], side="right"))
             for r, a, b in compare(keys[lo:hi], doc[lo:hi], raw[lo:hi]):
-                out.append((doc[lo + r], tag[lo + r], s[lo + r] + a, s[lo + r] + b))
+                out.append((doc[lo + r], t1[lo + r], t2[lo + r], s[lo + r] + a, s[lo + r] + b))
             lo = hi
-        return pd.DataFrame(out, columns=["doc_id", "tag", "s", "e"]).astype({"doc_id": "int64", "tag": "int32", "s": "int32", "e": "int32"})
+        return pd.DataFrame(out, columns=[*KEY, "s", "e"]).astype({k: "int64" for k in KEY} | {"s": "int32", "e": "int32"})
 
     groups = 4 * parallelism(spark)
-    edges = fetched.filter("kind = 1").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).groupBy("g").applyInPandas(refined, "doc_id long, tag int, s int, e int")
+    edges = fetched.filter("kind = 1").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).groupBy("g").applyInPandas(refined, "doc_id long, t1 long, t2 long, s int, e int")
     hot = fetched.filter("kind = 2")
     least = hot.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
-    hot = hot.join(least, ["c1", "c2"]).filter("doc_id > least").select("doc_id", "tag", "s", F.col("s").alias("e"))
-    return met.filter("kind = 0").select("doc_id", "tag", "s", "e").unionByName(edges).unionByName(hot)
+    hot = hot.join(least, ["c1", "c2"]).filter("doc_id > least").select(*KEY, "s", F.col("s").alias("e"))
+    return met.filter("kind = 0").select(*KEY, "s", "e").unionByName(edges).unionByName(hot)
 
 
 def removed_runs(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -387,11 +412,12 @@ def removed_runs(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text and any others. Adds `runs` (array of struct<tag, s, e>; null: none)."""
-    key, name = F.coalesce("doc_id", F.lit(NO_ID)), "runs"
-    runs = duplicate_windows(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "s", "e")).alias(name))
-    runs = runs.withColumnRenamed("doc_id", "run_of")
-    return docs.join(runs, key == runs["run_of"], "left").select(*[docs[c] for c in docs.columns], runs[name])
+    """docs: doc_id, text and any others. Adds `runs` (array of struct<s, e>; null: none)."""
+    key, name = keyed(docs), "runs"
+    runs = duplicate_windows(docs.select(*(k.alias(n) for k, n in zip(key, KEY, strict=True)), "text")).groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias(name))
+    runs = runs.toDF(*(of := [f"run_{n}" for n in KEY]), name)
+    same = [k == runs[n] for k, n in zip(key, of, strict=True)]
+    return docs.join(runs, same[0] & same[1] & same[2], "left").select(*[docs[c] for c in docs.columns], runs[name])
 
 
 def cut(text: str | None, runs: list | None) -> tuple[bytes, list[tuple[int, int]], bytes]:
@@ -399,8 +425,7 @@ def cut(text: str | None, runs: list | None) -> tuple[bytes, list[tuple[int, int
     raw = (text or "").encode("utf-8", "surrogatepass")
     if not runs:
         return raw, [], raw
-    tag = tag_of(raw)
-    gone = removed_runs(len(raw), [(r["s"], r["e"]) for r in runs if r["tag"] == tag])
+    gone = removed_runs(len(raw), [(r["s"], r["e"]) for r in runs])
     kept = b"".join(raw[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(raw)], strict=True))
     return raw, gone, kept
 

@@ -83,6 +83,22 @@ def test_dedup_null_and_repeated_ids(spark):
     check_dedup(spark, [a, a + " " + b, b, a, a, b + a, None, "x" * 200, "y" + "x" * 120, "x" * 49, "x" * 50], [None, 4, 4, None, 9, 9, 2, 1, 3, 5, 6])
 
 
+@pytest.mark.parametrize("some_id", [None, 7])
+def test_dedup_many_rows_of_one_id(spark, some_id):
+    """Two texts of one id whose 16-bit digests (by which they were once told apart) agree, and equal rows."""
+    rng = random.Random(15)
+    a, met = prose(rng, 30), {}
+    for k in range(5000):
+        n = 1 + k % 2 * 60
+        t = (a if k % 2 else "") + f" {k} " + (prose(rng, n) if k % 2 else "")
+        other = met.setdefault(hashlib.blake2b(t.encode(), digest_size=2).digest(), t)
+        if (len(other) < 50) != (len(t) < 50):
+            break
+    else:
+        raise AssertionError("no two texts of equal digests")
+    check_dedup(spark, [a, t, other, t, t, a + " end"], [1, some_id, some_id, some_id, some_id, None])
+
+
 def test_dedup_hot_passages_go_by_code(spark, monkeypatch):
     """A q-gram with more than HOT distinct blocks is compared window by window."""
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
