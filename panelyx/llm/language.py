@@ -1,8 +1,9 @@
 """Language identification: word-first backoff.
 
 Fitting counts words and character n-grams (1 to 4, of words padded with "_") per language in a bounded sample of
-labelled rows: those with the smallest hashes of their id, at most TRAIN_DOCS rows and TRAIN_CHARS characters, these
-shared evenly by the languages. A word of
+labelled rows: those with the smallest hashes of their id, at most TRAIN_DOCS rows and TRAIN_CHARS characters, both
+shared evenly by the languages (what rare languages leave of the rows goes to the others; one row each at least). Of
+texts that are too long together the longest are learned from their beginnings, so that none displaces others. A word of
 the model scores its log frequency in each language (add-one smoothed). An unseen word falls back to its 4-grams; a
 place where the 4-gram is unknown falls to the 3-gram, then the 2-gram, then the single character; the word scores the
 mean over places. A text scores the sum over its words, and the probabilities follow by Bayes with equal priors.
@@ -21,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import texts_of
 from .common import crc32_of_id, materialise, short_batches, table
@@ -40,28 +42,46 @@ def first_ids(rows: DataFrame, most: int) -> DataFrame:
     return rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
 
 
+def share(sizes: list[int], most: int) -> int:
+    """The largest bound for which min(size, bound) sums to at most `most` (1 at least; the largest size if all fits)."""
+    left = most
+    for k, n in enumerate(x := sorted(sizes)):
+        if n * (len(x) - k) > left:
+            return max(left // (len(x) - k), 1)
+        left -= n
+    return max([1, *x[-1:]])
+
+
+def first_ids_of_each(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """rows: doc_id, label. (ids of the smallest hashes of each label, at most so many in all, number of labels)."""
+    rows = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "label").distinct().withColumn("h", F.xxhash64("doc_id"))
+    counts = rows.groupBy("label").count().collect()
+    quota = share([r["count"] for r in counts], most)
+    # Hashes are even over the longs: those below `upto` are few, and enough but for a chance of less than 1e-9.
+    want = quota + 8 * quota**0.5 + 40
+    upto = [(r.label, int(min(want / r["count"], 1.0) * (2**64 - 2**12)) - 2**63 if want < r["count"] else 2**63 - 1) for r in counts]
+    bound = rows.sparkSession.createDataFrame(upto, T.StructType([T.StructField("label", rows.schema["label"].dataType), T.StructField("upto", T.LongType())]))
+    near = rows.join(F.broadcast(bound), "label").filter("h <= upto")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= quota).select("doc_id", "label"), len(counts)
+
+
 def sample(docs: DataFrame, ids: DataFrame, chars: dict) -> list[tuple[str, object]]:
-    """(text, label) of the ids' rows, per label in the order of first_ids up to `chars` characters (but one row at least).
+    """(text, label) of the ids' rows, per label at most `chars` characters (but one a row): of longer texts the beginning.
 
     ids: doc_id, label, a bounded number. The documents are scanned once; their rows go to a table in the shared folder,
     from which lengths are collected first, and then no more text than fits.
     """
     found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    found = materialise(found.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.char_length("text")), "sample")
-    last: dict = {}
-    for r in found.select("label", "h", "n").collect():
-        last.setdefault(r.label, []).append((r.h, r.n))
-    for label, rows in last.items():
-        rows.sort()
-        most = chars.get(label, chars.get(None, 0))
-        sums = np.cumsum([n for _, n in rows])
-        last[label] = rows[max(int(np.searchsorted(sums, most, side="right")) - 1, 0)][0]
-    if not last:
+    found = materialise(found.withColumn("n", F.char_length("text")), "sample")
+    sizes: dict = {}
+    for r in found.select("label", "n").collect():
+        sizes.setdefault(r.label, []).append(r.n)
+    if not sizes:
         return []
-    keep = F.lit(False)
-    for label, end in last.items():
-        keep = keep | ((F.col("label") == F.lit(label)) & (F.col("h") <= end))
-    return [(r.text, r.label) for r in found.filter(keep).select("text", "label").collect()]
+    bounds = [(label, share(n, chars.get(label, chars.get(None, 0)))) for label, n in sizes.items()]
+    bound = F.create_map(*(F.lit(x) for pair in bounds for x in pair))[F.col("label")]
+    return [(r.text, r.label) for r in found.select(F.expr("text").substr(F.lit(1), bound).alias("text"), "label").collect()]
 
 
 class BackoffModel:
@@ -152,8 +172,8 @@ def cached(key: str, model) -> WordCache:
 def learn(docs: DataFrame, chosen: Column) -> BackoffModel:
     """docs: doc_id, text, lang; learns from the chosen rows of known language."""
     rows = docs.filter(chosen & F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("label"))
-    ids = first_ids(rows, TRAIN_DOCS)
-    return BackoffModel.fit(sample(docs, ids, {None: TRAIN_CHARS // max(ids.select("label").distinct().count(), 1)}))
+    ids, languages = first_ids_of_each(rows, TRAIN_DOCS)
+    return BackoffModel.fit(sample(docs, ids, {None: TRAIN_CHARS // max(languages, 1)}))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

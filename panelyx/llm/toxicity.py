@@ -5,7 +5,8 @@ of an embedding table; a misspelt or unseen word thus shares n-gram vectors with
 of its features', a text's vector the mean of its words' times SCALE and the root of their number (toxic words are few
 among many, and the mean of many words varies less); a softmax over two classes follows. Embeddings and softmax are
 trained together by full-batch Adam on a bounded sample of labelled rows, those with the smallest hashes of their id: at
-most TRAIN_DOCS rows and TRAIN_CHARS characters of class 1, and NEGATIVES times that of class 0. As the model is linear
+most TRAIN_DOCS rows and TRAIN_CHARS characters of class 1 (of texts that are too long together the longest are learned
+from their beginnings, so that none displaces others), and NEGATIVES times that of class 0. As the model is linear
 in the mean, a text's score needs one number a word, which is cached.
 
 Results: a score for every row; a null or wordless text scores what the bias gives; a model without rows of both classes

@@ -238,6 +238,25 @@ def test_language_documents(spark):
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
 
 
+def test_sample_is_not_displaced_by_a_long_text_or_a_frequent_label(spark):
+    texts = ["word " * 3] * 30
+    for at in (0, 29):  # the first and the last in hash order
+        order = [r.id for r in spark.range(30).orderBy(F.xxhash64("id")).collect()]
+        long = list(texts)
+        long[order[at]] = "long " * 100_000
+        df = frame(spark, long)
+        ids = df.select("doc_id", F.lit(1).alias("label"))
+        got = language.sample(df, ids, {1: 1000})
+        assert len(got) == 30 and sum(len(t) for t, _ in got) <= 1000 and sum(t == texts[0] for t, _ in got) == 29
+        assert sorted(t for t, _ in language.sample(df, ids, {1: 10**9})) == sorted(long)
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5, "rare").when(F.col("id") < 2000, "some").otherwise("much").alias("label"))
+    ids, n = language.first_ids_of_each(rows, 605)
+    assert n == 3 and {r.label: r["count"] for r in ids.groupBy("label").count().collect()} == {"rare": 5, "some": 300, "much": 300}
+    first = rows.filter("label = 'much'").orderBy(F.xxhash64("doc_id")).limit(300)
+    assert first.join(ids, "doc_id").count() == 300
+    assert language.first_ids_of_each(rows.limit(0), 605)[0].count() == 0
+
+
 # ---- toxicity
 
 
