@@ -12,11 +12,11 @@ counts that are estimated from the sample's distance distribution in each part,
 signatures that a part's radius needs. Each fingerprint is put into the buckets of its part values within t_i
 (enumerated), and candidates of a bucket are verified on all 64 bits in numpy. A bucket is cut into blocks of BLOCK rows
 and pairs of blocks are tasks of their own, so no bucket lands in one task; what leaves a task is a spanning forest of
-the links found there, not all of them. Components follow from links (graph.components); a class's id is its smallest
-doc_id.
+the links found there, not all of them. Components follow from links (graph.components), whose vertices are numbered by
+fingerprint; a component's id is its smallest doc_id.
 
-Null texts count as empty; null ids are kept with a null fingerprint class only if no other id is in the class, else the
-class's id; repeated rows are kept; an empty table gives an empty result; other columns are ignored.
+Null texts count as empty; null ids link like others and are kept with a null component only if no row of it has an id,
+else its id; repeated rows are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -218,10 +218,12 @@ def link(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, fp, component_id, one row for each row of docs."""
     marked = materialise(fingerprints(docs).drop("row"), "fingerprints")
-    # Classes of equal fingerprints; the class of null ids only has no vertex number and stands alone by its fingerprint.
+    # Classes of equal fingerprints. Vertices are numbered by fingerprint, so that classes of null ids only are vertices too.
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("v")), "classes")
-    roots = components(link(classes.filter("v is not null")))
-    named = classes.join(roots, "v", "left").select("fp", F.coalesce("root", "v").alias("component_id"))
+    linked = components(link(classes.select(F.col("fp").alias("v"), "fp"))).withColumnRenamed("v", "fp")
+    least = linked.join(classes, "fp").groupBy("root").agg(F.min("v").alias("least"))
+    linked = linked.join(least, "root").select("fp", "least")
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "v").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -235,7 +237,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = materialise(fingerprints(numbered, row), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("first")
     classes = materialise(marked.groupBy("fp").agg(first), "classes")
-    # Vertices are numbered by fingerprint, so that classes of null ids and of ids met before are vertices too.
     roots = components(link(classes.select(F.col("fp").alias("v"), "fp")))
     named = classes.join(roots, classes["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))

@@ -165,6 +165,27 @@ def test_simhash_documents(spark):
     assert sorted([(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got], key=key) == sorted(zip(ids, fps, want), key=key)
 
 
+def test_simhash_null_ids_link_others(spark):
+    """A chain of fingerprints of which only the ends have ids, and one of null ids only."""
+    rng = random.Random(25)
+    seen, ends = {}, None
+    base = prose(rng, 300).split()
+    for _ in range(400):
+        t = list(base)
+        for _ in range(rng.randint(0, 12)):
+            t[rng.randrange(len(t))] = rng.choice(base)
+        seen.setdefault(slow_simhash(" ".join(t)), " ".join(t))
+    for f in seen:
+        near = [g for g in seen if g != f and (f ^ g).bit_count() <= simhash.TAU]
+        ends = ends or next(((a, f, b) for a in near for b in near if (a ^ b).bit_count() > simhash.TAU), None)
+    texts, ids = [*(seen[f] for f in ends), prose(rng, 100), prose(rng, 90)], [9, None, 5, None, 3]
+    got = simhash.near_duplicates(frame(spark, texts, ids)).collect()
+    fps = [slow_simhash(t) for t in texts]
+    want = slow_components(fps, ids)
+    assert want == [5, 5, 5, None, 3]
+    assert {(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got} == set(zip(ids, fps, want))
+
+
 @pytest.mark.parametrize("block", [4, 2048])
 def test_simhash_index_finds_every_link(spark, monkeypatch, block):
     """Dense clusters, whose buckets are cut into blocks; all plans of the index."""
