@@ -1,15 +1,17 @@
 """Token counts of a piece model (BPE with byte fallback) by rank-synchronous merging of ragged arrays.
 
 A text is cut where no merge can cross: before a run of spaces, and between two characters that no piece holds side by
-side. The distinct units of a batch lie in one ragged numpy array; in each round every unit applies its own best pair
-(leftmost of equals) at the same time as all the others; units without a mergeable pair leave the array. What is left
-counts: one token for a symbol that is a piece, its UTF-8 bytes for a character that is none (byte fallback). Rounds
-cost what is still active, so units of over LONG symbols (a run that no boundary cuts) go through a heap instead, in
-n log n. Counts of units are cached in bounded memory.
-
-The model's own rules are read from its file: identity normalisation, one space put before a text that is not empty,
-spaces written as U+2581. Control strings inside a text are plain text. Null texts count as empty (0 bytes, 0 tokens);
-null ids and repeated rows are kept; an empty table gives an empty result; other columns are ignored.
+side. The distinct units of a batch lie in one ragged numpy array, whatever their lengths; in each round every unit
+applies its own lowest rank, at all places that have it, at the same time as all the others; units without a mergeable
+pair leave the array. So a unit's rounds are its different ranks, not its merges. Where one of these merges would make a
+pair of the same or a lower rank, which the sequential order takes next, the unit walks its places of this round from
+the left and merges such pairs as they come. What is left counts: one token for a symbol that is a piece, its UTF-8
+bytes for a character that is none (byte fallback). Counts of units are cached in bounded memory.
+
+The model's rules are read from its file: whether a space is put before a text that is not empty, and byte fallback;
+spaces are written as U+2581. A file whose rules are not these (another model type, a normaliser, user-defined pieces,
+white space as a suffix) is refused. Control strings inside a text are plain text. Null texts count as empty (0 bytes,
+0 tokens); null ids and repeated rows are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +29,14 @@ from .common import short_batches, table
 from .words import WordCache
 
 SPACE = "▁"
-LONG = 256
 BIG = np.int64(2**62)
 
 
 class PieceModel:
     """pieces: text -> score of the mergeable pieces. Ranks: 0 is the best score, equal scores share a rank."""
 
-    def __init__(self, pieces: dict[str, float], byte_fallback: bool = True):
-        self.pieces, self.byte_fallback = pieces, byte_fallback
+    def __init__(self, pieces: dict[str, float], byte_fallback: bool = True, prefix: bool = True):
+        self.pieces, self.byte_fallback, self.prefix = pieces, byte_fallback, prefix
         chars = sorted({c for p in pieces for c in p})
         self.text = [*chars, *sorted(p for p in pieces if len(p) > 1)]
         self.ids = {t: i for i, t in enumerate(self.text)}
@@ -56,17 +57,28 @@ class PieceModel:
         self.units = (lambda s: [s]) if inner else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def __reduce__(self):
-        return PieceModel, (self.pieces, self.byte_fallback)
+        return PieceModel, (self.pieces, self.byte_fallback, self.prefix)
 
     def _fallback(self, c: str) -> int:
         return len(c.encode("utf-8", "surrogatepass")) if self.byte_fallback else 1
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
-        import sentencepiece
-
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
-        return cls({m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))})
+        from sentencepiece import sentencepiece_model_pb2
+
+        m = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            m.ParseFromString(f.read())
+        kind, norm, spec = m.SentencePiece, m.normalizer_spec, m.trainer_spec
+        rules = {
+            "model type": spec.model_type == spec.BPE,
+            "normaliser": not (norm.precompiled_charsmap or norm.normalization_rule_tsv or norm.remove_extra_whitespaces) and norm.escape_whitespaces,
+            "white space as a suffix": not spec.treat_whitespace_as_suffix,
+            "user-defined pieces": all(p.type != kind.USER_DEFINED for p in m.pieces),
+        }
+        if unknown := [k for k, ok in rules.items() if not ok]:
+            raise ValueError(f"{path}: not supported: {', '.join(unknown)}")
+        return cls({p.piece: p.score for p in m.pieces if p.type == kind.NORMAL}, spec.byte_fallback, norm.add_dummy_prefix)
 
     def cut(self, unit: str) -> list[str]:
         """Parts that no merge joins."""
@@ -90,8 +102,6 @@ class PieceModel:
             for p in self.cut(u):
                 if len(p) == 1:
                     out[i] += self.cost[self.ids[p]] if p in self.ids else self._fallback(p)
-                elif len(p) > LONG:
-                    out[i] += self._count_long(p)
                 else:
                     parts.append(p)
                     owner.append(i)
@@ -118,50 +128,82 @@ class PieceModel:
                 sym, who, rank, made, best, span = sym[~over], who[~over], rank[~over], made[~over], best[best != BIG], span[best != BIG]
                 if not len(sym):
                     break
-            hit = np.flatnonzero(rank == np.repeat(best, span))
-            hit = hit[np.concatenate([[True], who[hit[1:]] != who[hit[:-1]]])]  # the leftmost of each
-            sym[hit] = made[hit]
+            hit, stuck = self._hits(np.flatnonzero(rank == np.repeat(best, span)), sym, who, rank, made)
+            new = made[hit]
+            sym[hit] = new
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
+            anew = [hit, hit - 1]
+            for u in stuck.tolist():
+                a, b = np.searchsorted(who, [u, u + 1])
+                left = self._walk(sym[a:b], rank[a:b])
+                keep[a:b] = False
+                at = a + np.array([i for i, _ in left])
+                keep[at] = True
+                sym[at] = [x for _, x in left]
+                anew.append(at)
+            touched = np.concatenate(anew)
+            touched = (np.cumsum(keep) - 1)[touched[touched >= 0]]
             sym, who, rank, made = sym[keep], who[keep], rank[keep], made[keep]
-            hit -= np.arange(len(hit))
-            touched = np.concatenate([hit, hit[hit > 0] - 1])
+            rank[touched] = BIG
             touched = touched[touched + 1 < len(sym)]
-            rank[hit] = BIG
-            inner = who[touched] == who[touched + 1]
-            touched = touched[inner]
+            touched = touched[who[touched] == who[touched + 1]]
             rank[touched], made[touched] = self.lookup(sym[touched], sym[touched + 1])
         return total
 
-    def _count_long(self, part: str) -> int:
-        """One long part with a heap of (rank, position); an entry whose pair has changed is skipped."""
+    def _hits(self, hit: np.ndarray, sym: np.ndarray, who: np.ndarray, rank: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places to merge, of those that have their unit's lowest rank, and the units that have to walk instead."""
+        i = np.arange(len(hit))
+        head = np.append(True, hit[1:] != hit[:-1] + 1)
+        hit = hit[(i - np.maximum.accumulate(np.where(head, i, 0))) % 2 == 0]  # of overlapping places every other one
+        unit = who[hit]
+        first = np.append(True, unit[1:] != unit[:-1])
+        if first.all():
+            return hit, unit[:0]
+        # Pairs as they are when the places before are merged and those behind are not.
+        new, n = made[hit], len(sym)
+        left = sym[hit - 1]
+        near = np.flatnonzero(~first & (np.append(-2, hit[:-1]) == hit - 2))
+        left[near] = new[near - 1]
+        right = np.minimum(hit + 2, n - 1)
+        last = np.append(first[1:], True)  # after the last place the next round goes on
+        low = np.zeros(len(hit), bool)
+        for ok, a, b in (((hit > 0) & (who[hit - 1] == unit) & ~last, left, new), ((hit + 2 < n) & (who[right] == unit) & ~last, new, sym[right])):
+            k = np.flatnonzero(ok)
+            low[k] |= self.lookup(a[k], b[k])[0] <= rank[hit[k]]
+        stuck = np.unique(unit[low])
+        return (hit[~np.isin(unit, stuck)], stuck) if len(stuck) else (hit, stuck)
+
+    def _walk(self, symbols: np.ndarray, ranks: np.ndarray) -> list[tuple[int, int]]:
+        """One unit's places of the lowest rank in sequential order, with what they give rise to: (place, symbol) of all that is left."""
         table = getattr(self, "_table", None)
         if table is None:
             table = self._table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
-        sym = [self.ids.get(c, -self._fallback(c)) for c in part]
-        n = len(sym)
+        sym, n, most = symbols.tolist(), len(symbols), int(ranks.min())
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = lambda i, j: table.get((sym[i] << 32) | sym[j]) if sym[i] >= 0 and sym[j] >= 0 else None
-        heap = [(x[0], i, sym[i], sym[i + 1]) for i in range(n - 1) if (x := pair(i, i + 1))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
+        queue = [(most, i, sym[i], sym[i + 1]) for i in np.flatnonzero(ranks == most).tolist()]  # ascending, so a heap
+
+        def push(i: int, j: int) -> None:
+            if sym[i] >= 0 and sym[j] >= 0 and (x := table.get((sym[i] << 32) | sym[j])) and x[0] <= most:
+                heapq.heappush(queue, (x[0], i, sym[i], sym[j]))
+
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
             j = nxt[i]
             if sym[i] != a or j >= n or sym[j] != b:
-                continue
+                continue  # the pair has changed since
             sym[i] = table[(a << 32) | b][1]
             sym[j] = None
             nxt[i] = nxt[j]
             if nxt[i] < n:
                 prv[nxt[i]] = i
-                if x := pair(i, nxt[i]):
-                    heapq.heappush(heap, (x[0], i, sym[i], sym[nxt[i]]))
-            if prv[i] >= 0 and (x := pair(prv[i], i)):
-                heapq.heappush(heap, (x[0], prv[i], sym[prv[i]], sym[i]))
-        return sum(int(self.cost[s]) if s >= 0 else -s for s in sym if s is not None)
+                push(i, nxt[i])
+            if prv[i] >= 0:
+                push(prv[i], i)
+        return [(i, x) for i, x in enumerate(sym) if x is not None]
 
     def split(self, text: str) -> list[str]:
-        return self.units(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.units((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else []
 
 
 _CACHES: dict[str, tuple[PieceModel, WordCache]] = {}

@@ -111,7 +111,7 @@ def test_token_counts_equal_the_library(spark):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_token_counts_with_random_pieces(seed):
-    """Ties of score, long parts through the heap, characters that are no piece."""
+    """Ties of score, long parts, characters that are no piece."""
     rng = random.Random(seed)
     pieces = {c: -100.0 for c in "ab▁"} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))): -float(rng.randint(1, 12)) for _ in range(25)}
     model = token_counts.PieceModel(pieces)
@@ -127,7 +127,28 @@ def test_token_counts_with_random_pieces(seed):
 
     units = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 30))) for _ in range(150)] + ["".join(rng.choice("abc") for _ in range(600))]
     assert model.count(units).tolist() == [slow(u) for u in units]
-    assert model._count_long(units[-1]) == slow(units[-1])
+
+
+def test_token_counts_of_long_units():
+    """Units that no boundary cuts take a round a rank, not one a merge."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PieceModel.load(path)
+    rng = random.Random(9)
+    long = ["a" * 300_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP0123456789") for _ in range(60_000)), "ab" * 50_000, "=" * 40_000, " " * 30_000, "the" * 30_000, "日本語" * 20_000]
+    assert [int(model.count(model.split(t)).sum()) for t in long] == [len(lib.encode(t)) for t in long]
+
+
+def test_piece_rules_that_are_not_supported(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    m.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "other.model").write_bytes(m.SerializeToString())
+    with pytest.raises(ValueError, match="normaliser"):
+        token_counts.PieceModel.load(str(tmp_path / "other.model"))
 
 
 # ---- fingerprints
