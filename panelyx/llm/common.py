@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python: whole texts travel, so batches are kept short.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch handed to Python: whole texts travel, so batches are kept short (a longer text is its own).
+ARROW_ROWS, ARROW_BYTES = 512, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small enough for a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     # Python workers must be able to import this package, whatever folder the session was started in.
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
@@ -28,9 +29,11 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; set here only where the cluster names none (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; set here only in local mode (tests) where none is named."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = f"file://{tempfile.gettempdir()}/panelyx-shared"

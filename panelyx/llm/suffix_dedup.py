@@ -11,12 +11,14 @@ block. Blocks meet in the bucket of their anchor's q-gram and are refined there
 four later offsets that cover the block. Equal blocks are equal in every window: all but those of the smallest id go.
 In a bucket with more than one distinct block windows can agree in part (at the edges of a passage); only those blocks'
 bytes are fetched, and bucket-pointer refinement of all their suffixes to depth 50 in numpy (refine) tells which windows
-are equal. A q-gram with over HOT distinct blocks would be one task's burden: its windows are compared by the pair of
-codes that their three covering q-grams give, with minima per code aggregated before the shuffle.
+are equal. A q-gram with over HOT distinct blocks would be one task's burden: its windows meet across the cluster
+instead, grouped by their 50 bytes, with the least id of each aggregated before the shuffle. Both ways compare bytes and
+give the same; HOT only says where the work is done.
 
-Equality of blocks (88 bits and the bucket) and of hot windows (two 64-bit codes) is by code, all else by bytes.
+Equality of whole blocks is by code: 48 bits of the anchor's q-gram and 64 bits of the block, all else by bytes. With n
+different blocks the chance that any two are taken for equal is at most n^2 / 2^113: 5e-9 for the 7e12 blocks of 100 TB.
 
-What moves: about 7 % of positions as records of some 18 bytes, packed in columns per bucket and task, after a task has
+What moves: about 7 % of positions as records of some 20 bytes, packed in columns per bucket and task, after a task has
 dropped its own copies; the texts once, by id, for both joins.
 
 Rows of one id are told apart by a 128-bit digest of the text, which joins the id in every grouping and join (rows that
@@ -229,7 +231,6 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
             tags += tag
         ids, tags = np.array(at, np.int64), np.array(tags, np.int64).reshape(-1, 2)
         text, s, e, key, block = (np.concatenate([c[k] for c in chunks]) for k in ("text", "s", "e", "key", "block"))
-        block &= np.uint64((1 << 48) - 1)
         doc = ids[text]
         order, new = grouped(key, block)
         group = np.cumsum(new) - 1
@@ -251,7 +252,7 @@ def locate(docs: DataFrame, buckets: int) -> DataFrame:
             if len(k):
                 used, local = np.unique(by_id[text[k]], return_inverse=True)
                 used = id_order[used]
-                out.append((b, pickle.dumps(("records", deltas(ids[used]), packed(tags[used]), small(local), small(s[k]), small(e[k] - s[k]), six(key[k]), six(block[k])))))
+                out.append((b, pickle.dumps(("records", deltas(ids[used]), packed(tags[used]), small(local), small(s[k]), small(e[k] - s[k]), six(key[k]), block[k].tobytes()))))
         if out:
             where, blobs = zip(*out, strict=True)
             for lo in range(0, len(where), 64):
@@ -288,7 +289,7 @@ def meet(located: DataFrame) -> DataFrame:
             if kind == "settled":
                 out.append((ids[local], tags[local], s, x, np.zeros(len(s), np.uint64), np.zeros(len(s), np.int8)))
             else:
-                rows.append((ids[local], tags[local], s.astype(np.int64), s.astype(np.int64) + x, unsix(codes_[0]), unsix(codes_[1])))
+                rows.append((ids[local], tags[local], s.astype(np.int64), s.astype(np.int64) + x, unsix(codes_[0]), np.frombuffer(codes_[1], np.uint64)))
         if rows:
             doc, tag, s, e, key, block = (np.concatenate([r[i] for r in rows]) for i in range(6))
             if tag.any():  # equal rows have equal records: one of each is enough
@@ -346,33 +347,24 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            out: dict[str, list] = {k: [] for k in (*KEY, "s", "key", "kind", "raw", "c1", "c2")}
+            out: dict[str, list] = {k: [] for k in (*KEY, "s", "key", "kind", "raw")}
             for d, t1, t2, t, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if last == (d, t1, t2):  # an equal row; others of them may lie elsewhere, which does no harm
                     continue
                 last = (d, t1, t2)
-                raw, h = (t or "").encode("utf-8", "surrogatepass"), None
+                raw = (t or "").encode("utf-8", "surrogatepass")
                 for a in asks:
-                    if a["kind"] == 1:
-                        out["raw"].append(raw[a["s"] : a["e"] + DEPTH])
-                        w = [(a["s"], None, None)]
-                    else:
-                        h = codes(raw) if h is None else h
-                        p = np.arange(a["s"], a["e"] + 1)
-                        x = mix(h[p], h[p + Q])
-                        w = list(zip(p.tolist(), mix(x, h[p + DEPTH - Q]).view(np.int64).tolist(), mix(h[p + DEPTH - Q] * M3, x + M2).view(np.int64).tolist(), strict=True))
-                        out["raw"] += [None] * len(w)
-                    for s, c1, c2 in w:
-                        for k, v in (("doc_id", d), ("t1", t1), ("t2", t2), ("s", s), ("key", a["key"]), ("kind", a["kind"]), ("c1", c1), ("c2", c2)):
+                    # A block as a whole, or each of its windows.
+                    w = [(a["s"], raw[a["s"] : a["e"] + DEPTH])] if a["kind"] == 1 else [(s, raw[s : s + DEPTH]) for s in range(a["s"], a["e"] + 1)]
+                    for s, x in w:
+                        for k, v in (("doc_id", d), ("t1", t1), ("t2", t2), ("s", s), ("key", a["key"]), ("kind", a["kind"]), ("raw", x)):
                             out[k].append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("s", pa.int32()), ("key", pa.int64()), ("kind", pa.int8()), ("raw", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64()))],
-                names=[*KEY, "s", "key", "kind", "raw", "c1", "c2"],
+                [pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("s", pa.int32()), ("key", pa.int64()), ("kind", pa.int8()), ("raw", pa.binary()))],
+                names=[*KEY, "s", "key", "kind", "raw"],
             )
 
-    fetched = materialise(
-        docs.join(asked, [*KEY]).select(*KEY, "text", "asked").mapInArrow(fetch, "doc_id long, t1 long, t2 long, s int, key long, kind byte, raw binary, c1 long, c2 long"), "blocks"
-    )
+    fetched = materialise(docs.join(asked, [*KEY]).select(*KEY, "text", "asked").mapInArrow(fetch, "doc_id long, t1 long, t2 long, s int, key long, kind byte, raw binary"), "blocks")
 
     def refined(f: pd.DataFrame) -> pd.DataFrame:
         if f.t1.any():
@@ -392,8 +384,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     groups = 4 * parallelism(spark)
     edges = fetched.filter("kind = 1").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).groupBy("g").applyInPandas(refined, "doc_id long, t1 long, t2 long, s int, e int")
     hot = fetched.filter("kind = 2")
-    least = hot.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
-    hot = hot.join(least, ["c1", "c2"]).filter("doc_id > least").select(*KEY, "s", F.col("s").alias("e"))
+    least = hot.groupBy("raw").agg(F.min("doc_id").alias("least"))
+    hot = hot.join(least, "raw").filter("doc_id > least").select(*KEY, "s", F.col("s").alias("e"))
     return met.filter("kind = 0").select(*KEY, "s", "e").unionByName(edges).unionByName(hot)
 
 

@@ -99,8 +99,25 @@ def test_dedup_many_rows_of_one_id(spark, some_id):
     check_dedup(spark, [a, t, other, t, t, a + " end"], [1, some_id, some_id, some_id, some_id, None])
 
 
-def test_dedup_hot_passages_go_by_code(spark, monkeypatch):
-    """A q-gram with more than HOT distinct blocks is compared window by window."""
+def test_dedup_a_thousand_rows_of_one_id_and_none(spark):
+    """Rows that share an id, or have none, are judged each; one of them fails nothing and displaces nothing."""
+    rng = random.Random(16)
+    passages = [prose(rng, 25) for _ in range(8)]
+    text = lambda k: " ".join([f"{k}", *rng.sample(passages, k % 3), prose(rng, k % 17)])
+    texts = [text(k) for k in range(2040)]
+    check_dedup(spark, texts, [*range(40), *([None] * 1000), *([20] * 1000)])
+
+
+def test_dedup_empty_table_and_very_long_text(spark):
+    empty = frame(spark, ["x"]).limit(0)
+    assert suffix_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.strip_repeats(empty, "n_chars").count() == 0
+    rng = random.Random(17)
+    long = prose(rng, 12_000)
+    check_dedup(spark, [prose(rng, 20) + long[20_000:21_000], long, long[:30_000] + "X" + long[30_000:], "ab" * 20_000, "a" * 40_000, "a" * 100], [0, 5, 9, 3, 4, 1])
+
+
+def test_dedup_hot_passages(spark, monkeypatch):
+    """A q-gram with more than HOT distinct blocks is compared window by window across the cluster."""
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
     rng = random.Random(13)
     passage = prose(rng, 20)
@@ -235,6 +252,15 @@ def test_keep_one(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 8]
 
 
+def test_keep_one_of_a_thousand_rows_of_one_id_and_none(spark):
+    rng = random.Random(26)
+    texts = [prose(rng, 40) for _ in range(700)]
+    rows = [(i, t) for i in (None, 7) for t in (*texts[:700], *texts[:300])]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()]
+    assert len(kept) == len({slow_simhash(t) for t in texts}) and {i for i, _ in kept} == {7}
+    assert simhash.keep_one(frame(spark, ["x"]).limit(0)).count() == 0 == simhash.near_duplicates(frame(spark, ["x"]).limit(0)).count()
+
+
 def test_keep_one_judges_rows_not_ids(spark):
     rng = random.Random(24)
     a, b, c, d = (prose(rng, 50) for _ in range(4))
