@@ -5,8 +5,9 @@ are sequences of their own; remainders are packed. The histogram of remainder le
 the driver sees) is a cutting-stock problem. Its linear program over patterns starts from patterns of a single length;
 in each round the program's dual prices go into a knapsack by dynamic programming over 0..1024, whose solution is the
 pattern of least reduced cost, and enters the basis. Rounds end when no pattern prices out, when the bound that the
-knapsack's value gives is within GAP of the program's value, or after ROUNDS. Pattern counts are rounded down; what is
-left over (at most the rows of the program times a pattern's pieces) is packed best-fit decreasing on the histogram.
+knapsack's value gives is within GAP of the program's value, or after ROUNDS. Pattern counts are rounded down, patterns
+of large fractions are taken once more, and the program is solved again for the pieces that are left until none is. So
+every sequence is a pattern of a program's basis; best-fit patterns only start a program.
 
 Patterns meet documents through ranks: within a length documents are ranked by id, pattern j takes a range of ranks of
 each of its lengths, and sequence and offset follow from the rank by arithmetic. Ranks come in two steps, so that a
@@ -34,6 +35,8 @@ from .common import materialise, parallelism, short_batches, table, trim
 
 SEQUENCE, SEPARATOR = 1024, 0
 GAP, ROUNDS, SHRUNK = 0.001, 6_000, 5_000
+#: The share of the fractions' sum that is taken by rounding up before the program is solved again.
+ROUND_UP = 0.3
 
 
 # ---- tokens
@@ -122,51 +125,65 @@ def measure(docs: DataFrame, path: str, pattern: str | None) -> DataFrame:
 # ---- the cutting-stock program
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best value of a pattern, and how often it takes each length. lengths ascend."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Best value of a pattern, and how often it takes each length: at most `most` times (None: as often as it fits)."""
+    fit = capacity // lengths if most is None else np.minimum(capacity // lengths, most)
+    items = []  # (length's place, how many of it): doublings that add up to any number up to the most
+    for i in np.flatnonzero((prices > 1e-12) & (fit > 0)).tolist():
+        n, step = int(fit[i]), 1
+        while n > 0:
+            items.append((i, min(step, n)))
+            n -= step
+            step *= 2
     best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := upto[c]:
-            v = best[c - lengths[:k]] + prices[:k]
-            i = int(v.argmax())
-            if v[i] > best[c]:
-                best[c], took[c] = v[i], i
+    took = np.zeros((len(items), capacity + 1), bool)
+    for k, (i, n) in enumerate(items):
+        w = int(lengths[i]) * n
+        with_it = best[:-w] + prices[i] * n
+        np.greater(with_it, best[w:], out=took[k, w:])
+        np.maximum(with_it, best[w:], out=with_it)
+        best[w:] = with_it
     pattern, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= lengths[took[c]]
+    for k in range(len(items) - 1, -1, -1):
+        if took[k, c]:
+            i, n = items[k]
+            pattern[i] += n
+            c -= int(lengths[i]) * n
     return float(best[capacity]), pattern
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, known: np.ndarray) -> list[tuple[np.ndarray, float]]:
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, known: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
     """Patterns of the linear program's last basis with their values: least sum of values that covers the demand.
 
-    known: patterns (columns) that a heuristic has found; they are priced first, the knapsack makes a new pattern once
-    none of them prices out.
+    No pattern takes more of a length than there is. known: patterns that are priced first; the knapsack makes a new
+    one, which joins them, once none of them prices out.
     """
     m = len(lengths)
-    columns = np.diag(capacity // lengths).astype(float)
+    most = np.minimum(capacity // lengths, demand)
+    columns = np.diag(most).astype(float)
     inverse = np.diag(1 / np.diag(columns))
+    pool = np.array(known, float).reshape(-1, m)
     # A slight shake of the demand keeps ties, and with them cycles, away; the true demand gives the values at the end.
     shaken = demand + 1e-3 * np.random.default_rng(0).random(m)
     x = inverse @ shaken
     prices = inverse.sum(0)
+    least = float(lengths @ shaken) / capacity  # no packing needs less
     for _ in range(ROUNDS):
-        values = prices @ known
-        i = int(values.argmax()) if known.shape[1] else -1
+        if x.sum() <= (1 + GAP) * least:
+            break
+        values = pool @ prices
+        i = int(values.argmax()) if len(pool) else -1
         if i >= 0 and values[i] > 1 + 1e-7:
-            pattern = known[:, i]
+            pattern = pool[i]
         else:
-            value, pattern = knapsack(lengths, np.maximum(prices, 0), capacity)
+            value, taken = knapsack(lengths, np.maximum(prices, 0), capacity, most)
             if value <= 1 + 1e-9 or x.sum() <= (1 + GAP) * (prices @ shaken) / value:
                 break
-        u = inverse @ pattern
+            pattern = taken.astype(float)
+            known.append(taken)
+            pool = np.vstack([pool, pattern])
+        some = np.flatnonzero(pattern)
+        u = inverse[:, some] @ pattern[some]
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -174,7 +191,11 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, kn
         row = inverse[out] / u[out]
         prices = prices + (1 - prices @ pattern) * row
         u[out] -= 1
-        inverse -= np.outer(u, row)
+        rows, cols = np.flatnonzero(np.abs(u) > 1e-12), np.flatnonzero(np.abs(row) > 1e-12)
+        if 2 * len(rows) * len(cols) < m * m:  # the basis is sparse at first
+            inverse[np.ix_(rows, cols)] -= np.outer(u[rows], row[cols])
+        else:
+            inverse -= np.outer(u, row)
         x -= u * ratio[out]
         columns[:, out] = pattern
     x = np.maximum(inverse @ demand, 0)
@@ -182,7 +203,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, kn
 
 
 def best_fit(left: dict[int, int], capacity: int) -> Counter:
-    """Packs what is left: longest first, each into the fullest bin it fits. Returns patterns (sorted tuples) with counts."""
+    """Longest first, each into the fullest bin it fits. Returns patterns (sorted tuples) with counts."""
     room: dict[int, list[list[int]]] = {}
     for n in sorted(left, reverse=True):
         for _ in range(left[n]):
@@ -194,29 +215,42 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter:
 
 
 def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[dict[int, int], int]]:
-    """(pattern: length -> pieces, how many sequences) for each pattern; together exactly the histogram."""
-    histogram = {n: c for n, c in histogram.items() if n > 0 and c > 0}
-    if not histogram:
-        return []
-    lengths = np.array(sorted(histogram))
-    left, out = dict(histogram), []
-    demand = np.array([histogram[n] for n in lengths])
-    # The heuristic's patterns for the same proportions, of at most SHRUNK pieces, start the program.
-    small = np.maximum(demand * min(1.0, SHRUNK / demand.sum()), 1).astype(int)
-    at = {int(n): i for i, n in enumerate(lengths)}
-    seen = best_fit({int(n): int(c) for n, c in zip(lengths, small, strict=True)}, capacity)
-    known = np.zeros((len(lengths), len(seen)))
-    for j, p in enumerate(seen):
-        for n in p:
-            known[at[n], j] += 1
-    for pattern, x in column_generation(lengths, demand.astype(float), capacity, known):
-        used = {int(n): int(a) for n, a in zip(lengths, pattern, strict=True) if a}
-        times = min([int(x + 1e-6), *(left[n] // a for n, a in used.items())])
-        if times > 0:
-            out.append((used, times))
-            for n, a in used.items():
-                left[n] -= a * times
-    return out + [(dict(Counter(p)), c) for p, c in sorted(best_fit(left, capacity).items(), reverse=True)]
+    """(pattern: length -> pieces, how many sequences) for each pattern; together exactly the histogram.
+
+    The program's values are rounded down; then its patterns are taken once more each, from the largest fraction on, as
+    long as all their pieces are left. The program is solved again for what is left, until nothing is.
+    """
+    lengths = np.array(sorted(n for n, c in histogram.items() if n > 0 and c > 0), np.int64)
+    left = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    out: Counter = Counter()
+    known: list[np.ndarray] = []
+    while len(lengths):
+        # A heuristic's patterns for the same proportions, of at most SHRUNK pieces, start the program.
+        small = np.maximum(left * min(1.0, SHRUNK / left.sum()), 1).astype(int)
+        at = {int(n): i for i, n in enumerate(lengths)}
+        for p in best_fit(dict(zip(lengths.tolist(), small.tolist(), strict=True)), capacity):
+            known.append(np.bincount([at[n] for n in p], minlength=len(lengths)))
+        found = column_generation(lengths, left, capacity, known)
+
+        def use(pattern: np.ndarray, times: int) -> bool:
+            taken = np.flatnonzero(pattern)
+            times = min(times, int((left[taken] // pattern[taken]).min())) if len(taken) else 0
+            if times > 0:
+                out[tuple((int(lengths[i]), int(pattern[i])) for i in taken[::-1])] += times
+                left[taken] -= pattern[taken] * times
+            return times > 0
+
+        for pattern, x in found:
+            use(pattern, int(x + 1e-6))
+        # The largest fractions come next; rounding up all would use up the small pieces that the large ones need.
+        parts = sorted(((f[1] + 1e-6) % 1, j) for j, f in enumerate(found) if f[1] > 1e-6)[::-1]
+        more = max(1, int(ROUND_UP * sum(f for f, _ in parts)))
+        for _, j in parts:
+            more -= more > 0 and use(found[j][0], 1)
+        rest = left > 0
+        known = [p[rest] for p in known if not p[~rest].any() and (p[rest] <= left[rest]).all()]
+        lengths, left = lengths[rest], left[rest]
+    return [(dict(p), c) for p, c in sorted(out.items(), reverse=True)]
 
 
 def rank_ranges(patterns: list[tuple[dict[int, int], int]]) -> dict[int, list[tuple]]:

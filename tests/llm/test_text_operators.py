@@ -363,6 +363,51 @@ def test_cutting_stock_plan(seed):
     assert sum(t for _, t in plan) <= least * 1.03 + 1
     value, pattern = packing.knapsack(np.array([3, 5, 7]), np.array([2.0, 4.0, 5.5]), 13)
     assert value == 10.0 and (np.array([3, 5, 7]) @ pattern) <= 13
+    value, pattern = packing.knapsack(np.array([3, 5, 7]), np.array([2.0, 4.0, 5.5]), 13, np.array([1, 1, 1]))
+    assert value == 9.5 and pattern.tolist() == [0, 1, 1]
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying every place for each piece."""
+    best = [len(pieces)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= pieces[k]:
+                i = rooms.index(r)
+                place(k + 1, [*rooms[:i], r - pieces[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_cutting_stock_plan_against_the_optimum():
+    from collections import Counter
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        pieces = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 11))), reverse=True)
+        n = sum(t for _, t in packing.plan(dict(Counter(pieces)), 20))
+        assert fewest(pieces, 20) <= n <= fewest(pieces, 20) + (n > 3)
+
+
+def test_cutting_stock_plan_uses_patterns_of_the_program(monkeypatch):
+    """Every sequence is a pattern of a program's basis, also where most lengths occur once or twice."""
+    from itertools import chain
+
+    seen, solve = [], packing.column_generation
+    monkeypatch.setattr(packing, "column_generation", lambda *a: seen.append((a[0], found := solve(*a))) or found)
+    lengths = np.clip(np.random.default_rng(8).lognormal(5.2, 1, 1000).astype(int), 1, 1023)
+    plan = packing.plan(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))))
+    made = set(chain.from_iterable((tuple((int(n), int(a)) for n, a in zip(ns, p) if a)[::-1] for p, _ in found) for ns, found in seen))
+    assert {tuple(used.items()) for used, _ in plan} <= made
+    assert sum(t for _, t in plan) <= lengths.sum() / 1024 * 1.01 + 1
 
 
 # ---- empty tables
