@@ -45,8 +45,9 @@ from .words import by_bytes
 
 DEPTH, Q = 50, 24
 WINDOW = DEPTH - Q + 1
-HOT = 500
 CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 500_000, 16_000_000, 1_000_000
+#: Blocks (of at most DEPTH + WINDOW - 1 bytes) that REFINE_BYTES hold.
+HOT = REFINE_BYTES // (DEPTH + WINDOW)
 NO_ID = 2**63 - 1
 #: What rows are told apart by: the id, and the digest of the text in two halves.
 KEY = ("doc_id", "t1", "t2")
@@ -354,11 +355,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
                 last = (d, t1, t2)
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 for a in asks:
-                    # A block as a whole, or each of its windows.
-                    w = [(a["s"], raw[a["s"] : a["e"] + DEPTH])] if a["kind"] == 1 else [(s, raw[s : s + DEPTH]) for s in range(a["s"], a["e"] + 1)]
-                    for s, x in w:
-                        for k, v in (("doc_id", d), ("t1", t1), ("t2", t2), ("s", s), ("key", a["key"]), ("kind", a["kind"]), ("raw", x)):
-                            out[k].append(v)
+                    for k, v in (("doc_id", d), ("t1", t1), ("t2", t2), ("s", a["s"]), ("key", a["key"]), ("kind", a["kind"]), ("raw", raw[a["s"] : a["e"] + DEPTH])):
+                        out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("s", pa.int32()), ("key", pa.int64()), ("kind", pa.int8()), ("raw", pa.binary()))],
                 names=[*KEY, "s", "key", "kind", "raw"],
@@ -383,7 +381,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
 
     groups = 4 * parallelism(spark)
     edges = fetched.filter("kind = 1").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).groupBy("g").applyInPandas(refined, "doc_id long, t1 long, t2 long, s int, e int")
-    hot = fetched.filter("kind = 2")
+    hot = fetched.filter("kind = 2").withColumn("o", F.explode(F.sequence(F.lit(0), F.length("raw") - DEPTH)))
+    hot = hot.select(*KEY, (F.col("s") + F.col("o")).alias("s"), F.substring("raw", F.col("o") + 1, F.lit(DEPTH)).alias("raw"))
     least = hot.groupBy("raw").agg(F.min("doc_id").alias("least"))
     hot = hot.join(least, "raw").filter("doc_id > least").select(*KEY, "s", F.col("s").alias("e"))
     return met.filter("kind = 0").select(*KEY, "s", "e").unionByName(edges).unionByName(hot)
