@@ -291,6 +291,26 @@ def test_top_k_against_sql_and_odd_vectors(spark):
     assert sorted(map(tuple, got[cols].to_numpy().tolist())) == sorted(map(tuple, want[cols].to_numpy().tolist()))
 
 
+@pytest.mark.parametrize("block", [16_384, 5])
+def test_top_k_of_many_copies_and_small_annuli(spark, monkeypatch, block):
+    """A third of all rows have one vector; ids of several vectors; annuli of a few points; queries in many blocks."""
+    for name, value in (("QUERIES", block), ("CHUNK", 16), ("SPAN", 3), ("BAND", 32), ("PRODUCT", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(33)
+    v = rng.integers(-2, 3, size=(900, 4)) / 4.0 + (rng.random((900, 4)) < 0.02) / 8
+    v[::3] = v[0]
+    ids = [*range(880), *([100] * 6), *([101] * 7), *([None] * 7)]
+    rows = [(i, x.tolist()) for i, x in zip(ids, v)] + [(9999, [1.0]), (50, [2.0, 1.0]), (9998, [])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 50 == 0).collect()
+    q = np.floor(v * 256).astype(int)
+    want = []
+    for own in sorted({i for i in ids if i is not None and i % 50 == 0}):
+        asks = {tuple(q[r]) for r, i in enumerate(ids) if i == own}
+        near = sorted((-int(np.dot(x, q[r])), i is None, i or 0) for x in asks for r, i in enumerate(ids) if i != own)
+        want += [(own, n + 1, None if none else i, -s) for n, (s, none, i) in enumerate(near[:5])]
+    assert sorted(map(tuple, got)) == sorted(want, key=lambda w: w[:2])
+
+
 def test_top_k_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (None, [9.0, 9.0]), (50, None)], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(few, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
