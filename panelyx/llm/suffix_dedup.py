@@ -45,7 +45,7 @@ from .words import by_bytes
 
 DEPTH, Q = 50, 24
 WINDOW = DEPTH - Q + 1
-CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 500_000, 16_000_000, 1_000_000
+CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 500_000, 16_000_000, 400_000
 #: Blocks (of at most DEPTH + WINDOW - 1 bytes) that REFINE_BYTES hold.
 HOT = REFINE_BYTES // (DEPTH + WINDOW)
 NO_ID = 2**63 - 1
@@ -361,6 +361,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
                 [pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("s", pa.int32()), ("key", pa.int64()), ("kind", pa.int8()), ("raw", pa.binary()))],
                 names=[*KEY, "s", "key", "kind", "raw"],
             )
+            del out
+        trim()
 
     fetched = materialise(docs.join(asked, [*KEY]).select(*KEY, "text", "asked").mapInArrow(fetch, "doc_id long, t1 long, t2 long, s int, key long, kind byte, raw binary"), "blocks")
 
@@ -377,6 +379,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
             for r, a, b in compare(keys[lo:hi], doc[lo:hi], raw[lo:hi]):
                 out.append((doc[lo + r], t1[lo + r], t2[lo + r], s[lo + r] + a, s[lo + r] + b))
             lo = hi
+        del f, raw
+        trim()
         return pd.DataFrame(out, columns=[*KEY, "s", "e"]).astype({k: "int64" for k in KEY} | {"s": "int32", "e": "int32"})
 
     groups = 4 * parallelism(spark)
@@ -431,6 +435,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             got = [cut(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             spans = pa.array([[{"from": f, "to": t} for f, t in x[1]] for x in got], pa.list_(kind))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x[0]) for x in got], pa.int64()), spans, pa.array([x[2] for x in got], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        trim()
 
     return with_runs(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
 
