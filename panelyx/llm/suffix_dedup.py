@@ -45,7 +45,7 @@ from .words import by_bytes
 
 DEPTH, Q = 50, 24
 WINDOW = DEPTH - Q + 1
-CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 500_000, 16_000_000, 400_000
+CHUNK_BYTES, FLUSH_BYTES, REFINE_BYTES = 500_000, 8_000_000, 1_000_000
 #: Blocks (of at most DEPTH + WINDOW - 1 bytes) that REFINE_BYTES hold.
 HOT = REFINE_BYTES // (DEPTH + WINDOW)
 NO_ID = 2**63 - 1
