@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import uuid
 
@@ -42,11 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Shuffle files behind a written table are of no more use, but Spark removes them only when the driver collects its
+    garbage, which may be long after the executors' disks are full. So the driver is asked to do so now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelyx-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
