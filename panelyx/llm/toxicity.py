@@ -2,12 +2,13 @@
 
 A word's features are the word and its character n-grams of 3 to 5 (padded with "<" and ">"), hashed into BUCKETS rows
 of an embedding table; a misspelt or unseen word thus shares n-gram vectors with known ones. A word's vector is the mean
-of its features', a text's vector the mean of its words' times SCALE and the root of their number (toxic words are few
-among many, and the mean of many words varies less); a softmax over two classes follows. Embeddings and softmax are
-trained together by full-batch Adam on a bounded sample of labelled rows, those with the smallest hashes of their id: at
-most TRAIN_DOCS rows and TRAIN_CHARS characters of class 1 (of texts that are too long together the longest are learned
-from their beginnings, so that none displaces others), and NEGATIVES times that of class 0. As the model is linear
-in the mean, a text's score needs one number a word, which is cached.
+of its features', a text's vector the mean of its words' times SCALE (a constant that the softmax would have to learn
+otherwise); a softmax over two classes follows. Embeddings and softmax are trained together by full-batch Adam on a
+bounded sample of labelled rows, those with the smallest hashes of their id: at most TRAIN_DOCS rows and TRAIN_CHARS
+characters of class 1 (of texts that are too long together the longest are learned from their beginnings, so that none
+displaces others), and NEGATIVES times that of class 0; the bias is then set to the odds of all labels. The sample is
+read by one task, which trains; the driver gets the model only. As the model is linear in the mean, a text's score needs
+one number a word, which is cached.
 
 Results: a score for every row; a null or wordless text scores what the bias gives; a model without rows of both classes
 scores the share of class 1 (0.0 without labels). Null labels are not learned from. Null ids and repeated rows are kept;
@@ -29,16 +30,12 @@ from pyspark.sql import functions as F
 
 from .bpe import texts_of
 from .common import crc32_of_id, short_batches, table
-from .language import cached, first_ids, sample, words_of
+from .language import cached, first_ids, fit_in_task, sample, words_of
 from .words import WordCache
 
 #: Rows and characters of class 1, and how many times that of class 0.
 TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_200, 4_000_000, 2
-BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 4, 4.0, 120, 0.05, 3e-5
-#: A word of frequency p weighs COMMON / (COMMON + p): frequent words say little.
-COMMON = 1e-3
-#: Features met less often in the sample (as pairs of a text and a word) keep a zero vector: they would only be learned by heart.
-MIN_SEEN = 20
+BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 8, 200.0, 120, 0.05, 3e-5
 
 
 def features(word: str) -> list[int]:
@@ -79,20 +76,23 @@ class _Mean:
 
 
 class SubwordModel:
-    def __init__(self, embedding: np.ndarray, weight: np.ndarray, bias: float, common: dict[str, float] | None = None):
-        self.embedding, self.weight, self.bias, self.common = embedding, weight, bias, common or {}
+    def __init__(self, embedding: np.ndarray, weight: np.ndarray, bias: float):
+        self.embedding, self.weight, self.bias = embedding, weight, bias
         self.score_of = embedding @ weight * SCALE  # of each bucket, for class 1 against class 0
 
+    def __reduce__(self):
+        return SubwordModel, (self.embedding, self.weight, self.bias)
+
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel:
+    def fit(cls, rows: list[tuple[str, int]], odds: float | None = None, seed: int = 0) -> SubwordModel:
+        """odds: of class 1 among all labels, of which rows are a sample with other odds (None: the same)."""
         number: dict[str, int] = {}
-        cols, counts, share_of, n, labels = array("i"), array("i"), array("f"), [], []
+        cols, share_of, n, labels = array("i"), array("f"), [], []
         for t, y in rows:
             if c := Counter(words_of(t.lower())):
                 cols.extend(number.setdefault(w, len(number)) for w in c)
-                root = sum(c.values()) ** 0.5
-                counts.extend(c.values())
-                share_of.extend(SCALE * v / root for v in c.values())
+                total = sum(c.values())
+                share_of.extend(SCALE * v / total for v in c.values())
                 n.append(len(c))
                 labels.append(y)
         share = sum(labels) / len(labels) if labels else 0.0
@@ -105,15 +105,9 @@ class SubwordModel:
             size.append(len(f))
         m = len(number)
         cols, share_of, flat, size = (np.array(x) for x in (cols, share_of, flat, size))
-        times = np.bincount(cols, counts)
-        damp = (COMMON / (COMMON + times / times.sum())).astype(np.float32)
-        common = {w: float(damp[i]) for w, i in number.items() if damp[i] < 0.95}
         number.clear()
-        share_of *= damp[cols]
-        rare = np.bincount(flat, np.repeat(np.bincount(cols), size), BUCKETS) < np.clip(len(n) // 100, 4, MIN_SEEN)
-        keep = ~rare[flat]
-        words = _Mean(np.repeat(np.arange(m, dtype=np.int32), size)[keep], flat[keep], np.repeat((1 / size).astype(np.float32), size)[keep], m)
-        del flat, keep
+        words = _Mean(np.repeat(np.arange(m, dtype=np.int32), size), flat, np.repeat((1 / size).astype(np.float32), size), m)
+        del flat
         texts = _Mean(np.repeat(np.arange(len(n), dtype=np.int32), n), cols, share_of, len(n))
         y = np.array(labels)
 
@@ -138,29 +132,31 @@ class SubwordModel:
                 mean += 0.1 * (d - mean)
                 v += 0.01 * (d * d - v)
                 p_ -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        return cls(emb, out[:, 1] - out[:, 0], float(bias[1] - bias[0]), common)
+        shift = np.log(odds / (share / (1 - share))) if odds else 0.0
+        return cls(emb, out[:, 1] - out[:, 0], float(bias[1] - bias[0] + shift))
 
     def score_words(self, words: list[str]) -> np.ndarray:
         feats = [features(w) for w in words]
         size = np.fromiter(map(len, feats), np.int64, len(feats))
         flat = self.score_of[np.fromiter((x for f in feats for x in f), np.int64, int(size.sum()))]
-        damp = np.fromiter((self.common.get(w, 1.0) for w in words), float, len(words))
-        return np.add.reduceat(flat, np.cumsum(size) - size) / size * damp if len(words) else np.zeros(0)
+        return np.add.reduceat(flat, np.cumsum(size) - size) / size if len(words) else np.zeros(0)
 
     def score(self, texts: list[str | None], cache: WordCache) -> list[float]:
         numbers = cache.number(words_of((t or "").lower()) for t in texts)
         s = cache.results()
-        z = [self.bias + (float(s[x].sum() / np.sqrt(len(x))) if len(x) else 0.0) for x in numbers]
+        z = [self.bias + (float(s[x].mean()) if len(x) else 0.0) for x in numbers]
         return [float(1 / (1 + np.exp(-np.clip(v, -700, 700)))) for v in z]
 
 
 def learn(docs: DataFrame, labels: DataFrame, chosen: Column) -> SubwordModel:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from the chosen labelled rows."""
-    known = labels.filter(chosen).select("doc_id", F.col("toxic").alias("label"))
+    known = labels.filter(chosen).select("doc_id", F.col("toxic").alias("label")).filter("label in (0, 1)")
     most = {0: TRAIN_DOCS * NEGATIVES, 1: TRAIN_DOCS}
     ids = [first_ids(known.filter(F.col("label") == y), n) for y, n in most.items()]
-    rows = sample(docs, ids[0].unionByName(ids[1]), {y: TRAIN_CHARS * n // TRAIN_DOCS for y, n in most.items()})
-    return SubwordModel.fit(sorted(rows))
+    rows = sample(docs, ids[0].unionByName(ids[1]), {y: (n, TRAIN_CHARS * n // TRAIN_DOCS) for y, n in most.items()})
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    odds = counts[1] / counts[0] if len(counts) == 2 else None
+    return fit_in_task(rows, lambda x: SubwordModel.fit(x, odds)) or SubwordModel.fit([])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -242,11 +243,51 @@ def test_language_learns_and_backs_off():
     assert model.predict([None, "", "123 ²!"], WordCache(model.score_words)) == (["und"] * 3, [0.0] * 3)
     # A known word has its own row; an unseen one takes the mean over its places, each with the longest known n-gram.
     known = next(iter(model.words))
-    assert np.allclose(model.score_words([known])[0], model.table[model.words[known]])
+    assert np.allclose(model.score_words([known])[0], [*model.table[model.words[known]], 1.0])
     word = "zz"
     p = f"_{word}_"
     pick = lambda i: next((model.table[model.grams[p[i : i + n]]] for n in (4, 3, 2, 1) if i + n <= len(p) and p[i : i + n] in model.grams), model.floor)
-    assert np.allclose(model.score_words([word])[0], np.mean([pick(i) for i in range(len(p) - 1)], axis=0))
+    assert np.allclose(model.score_words([word])[0, :-1], np.mean([pick(i) for i in range(len(p) - 1)], axis=0))
+
+
+def test_language_fit_against_plain_counts():
+    """Every count of the model, and the score of whole texts, computed the long way."""
+    from collections import Counter
+
+    rows = language_rows(random.Random(8), 12) + [("Zoë zoë, zoë! x1 x1", "zz"), ("", "zz")]
+    model = language.BackoffModel.fit(rows)
+    words = {k: Counter(w for t, x in rows if x == k for w in re.findall(r"[^\W\d_]+", t.lower())) for k in ("xx", "yy", "zz")}
+    grams = {k: Counter(g for w in c.elements() for n in (1, 2, 3, 4) for g in (f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n))) for k, c in words.items()}
+    assert model.languages == ["xx", "yy", "zz"]
+    for found, counts in ((model.words, words), (model.grams, grams)):
+        kept = {x for c in counts.values() for x in c if sum(d[x] for d in counts.values()) > 1}
+        assert set(found) == kept
+        for x in kept:
+            want = [np.log((counts[k][x] + 1) / (sum(counts[k].values()) + len(kept) + 1)) for k in model.languages]
+            assert np.allclose(model.table[found[x]], want, rtol=1e-5)
+    text = "zoë " + rows[0][0] + " qqq"
+    s = np.array([sum(model.score_words([w])[0, k] for w in re.findall(r"[^\W\d_]+", text)) for k in range(3)])
+    (lang, p, _) = next(model.judge([text], WordCache(model.score_words)))
+    assert lang == model.languages[s.argmax()] and np.isclose(p, np.exp(s - s.max()).max() / np.exp(s - s.max()).sum())
+
+
+def test_language_held_out_accuracy(spark):
+    """The query on the small tables: accuracy on rows that were not learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.query(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out and lang is not null").toPandas()
+    assert len(found) > 200 and (found.lang == found.lang_pred).mean() > 0.97
+
+
+def test_language_keeps_only_what_it_learned(spark):
+    """A text in a language that was not learned scores near 1 in the nearest one, and goes for want of evidence."""
+    rng = random.Random(10)
+    docs = [(k, t, lang, None, len(t)) for k, (t, lang) in enumerate(language_rows(rng, 40))]
+    other = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(60))
+    docs += [(1000 + k, other(x), None, None, 0) for k, x in enumerate(["жзийклмнопрст", "qwxzvhj", "ωψχφυτσρ"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.learn(df, F.lit(True))
+    kept = {r.doc_id for r in language.keep_known(df, model).collect()}
+    assert kept == set(range(80))
 
 
 def test_language_documents(spark):
@@ -267,9 +308,12 @@ def test_sample_is_not_displaced_by_a_long_text_or_a_frequent_label(spark):
         long[order[at]] = "long " * 100_000
         df = frame(spark, long)
         ids = df.select("doc_id", F.lit(1).alias("label"))
-        got = language.sample(df, ids, {1: 1000})
+        got = language.sample(df, ids, {1: (100, 1000)}).collect()
         assert len(got) == 30 and sum(len(t) for t, _ in got) <= 1000 and sum(t == texts[0] for t, _ in got) == 29
-        assert sorted(t for t, _ in language.sample(df, ids, {1: 10**9})) == sorted(long)
+        assert sorted(t for t, _ in language.sample(df, ids, {1: (30, 10**9)}).collect()) == sorted(long)
+        assert language.sample(df, ids, {None: (7, 10**9)}).count() == 7
+    many = frame(spark, [f"text {k}" for k in range(500)], [3] * 500)  # rows of one id are no way round the bound
+    assert language.sample(many, spark.createDataFrame([(3, 1)], "doc_id long, label int"), {1: (40, 10**9)}).count() == 40
     rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5, "rare").when(F.col("id") < 2000, "some").otherwise("much").alias("label"))
     ids, n = language.first_ids_of_each(rows, 605)
     assert n == 3 and {r.label: r["count"] for r in ids.groupBy("label").count().collect()} == {"rare": 5, "some": 300, "much": 300}
@@ -293,6 +337,50 @@ def test_toxicity_separates_and_shares_subwords():
     assert model.score_words(["vilexunseen"])[0] > model.score_words(["tanloved"])[0]
 
 
+def test_toxicity_against_a_dense_model(monkeypatch):
+    """Training and scores, step by step, with whole matrices instead of gathers."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 97)
+    monkeypatch.setattr(toxicity, "STEPS", 12)
+    rng = random.Random(12)
+    rows = sorted((prose(rng, rng.randint(1, 9)) + (" vilexa" * y), y) for y in (0, 1, 0) for _ in range(8))
+    model = toxicity.SubwordModel.fit(rows, odds=0.1)
+    vocab = list(dict.fromkeys(w for t, _ in rows for w in t.split()))
+    of_word = np.zeros((len(vocab), 97))
+    for i, w in enumerate(vocab):
+        for f in toxicity.features(w):
+            of_word[i, f] += 1 / len(toxicity.features(w))
+    of_text = np.array([[t.split().count(w) / len(t.split()) for w in vocab] for t, _ in rows]) * toxicity.SCALE
+    x, hit = of_text @ of_word, np.eye(2)[[y for _, y in rows]]
+    gen = np.random.default_rng(0)
+    emb = gen.normal(0, 0.1, (97, toxicity.DIM)).astype(np.float32).astype(float)
+    emb[of_word.sum(0) == 0] = 0
+    out, bias = gen.normal(0, 0.1, (toxicity.DIM, 2)).astype(np.float32).astype(float), np.zeros(2)
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
+    for step in range(1, 13):
+        z = x @ emb @ out + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        g = (p / p.sum(1, keepdims=True) - hit) / len(rows)
+        grads = x.T @ g @ out.T + toxicity.DECAY * emb, (x @ emb).T @ g + toxicity.DECAY * out, g.sum(0)
+        for q, (m, v), d in zip((emb, out, bias), state, grads):
+            m += 0.1 * (d - m)
+            v += 0.01 * (d * d - v)
+            q -= toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    share = sum(y for _, y in rows) / len(rows)
+    shift = np.log(0.1 / (share / (1 - share)))
+    want = 1 / (1 + np.exp(-(x @ emb @ (out[:, 1] - out[:, 0]) + bias[1] - bias[0] + shift)))
+    got = model.score([t for t, _ in rows], WordCache(model.score_words))
+    assert np.allclose(got, want, atol=2e-2) and np.corrcoef(got, want)[0, 1] > 0.999
+
+
+def test_toxicity_held_out_rows(spark):
+    """The query on the given tables: rows that were not learned from are told apart."""
+    found = toxicity.query(spark, "/root/testdata/sf0.1").filter("held_out").select("doc_id", "score")
+    found = found.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
+    y, rank = found.toxic.to_numpy(), found.score.rank().to_numpy()
+    n = y.sum()
+    assert n > 50 and (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) > 0.9
+
+
 def test_toxicity_documents(spark):
     df = frame(spark, odd_texts())
     labels = spark.createDataFrame([(i, i % 2 if i % 5 else None, "x") for i in range(40)] + [(None, 1, "x")], "doc_id long, toxic int, label string")
