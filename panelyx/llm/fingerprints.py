@@ -1,13 +1,16 @@
 """Document fingerprints by winnowing: k-gram hashes, the minimum of each window (rightmost of ties), positions kept.
 
-Units are the pieces of a text between single spaces; a k-gram is `K` = 5 consecutive units; its hash is taken from the
-units' own 64-bit hashes. Of every window of `W` = 4 consecutive k-grams the smallest hash is kept with its position,
-the rightmost one of equal hashes. Hence any passage of W + K - 1 = 8 equal units in two texts leaves an equal mark in
-both. Texts of fewer than K units have the one k-gram of all their units, texts of fewer than W k-grams one window.
-An empty or null text has no marks. Likeness of two fingerprints: Jaccard of their sets of hashes; two without marks
-are alike (1.0).
-
-A mark is one long: 32 bits of hash, then 2^31 - 1 - position, so that least() finds the smallest hash and, among equal
+Units are what lies between white space; characters of scripts that write no spaces are units of their own. A k-gram is
+`K` = 5 consecutive units. Its hash is the rolling one of Karp and Rabin: the units' hashes u are the digits of a number
+to the base BASE modulo the prime PRIME, so that gram(i + 1) = (gram(i) - u(i) BASE^(K-1)) BASE + u(i + K). A DataFrame
+expression carries no running value along an array, so the same numbers are made for all positions at once by doubling:
+the gram of 2n units from two neighbours of n, one multiplication each, instead of hashing K units anew. Of every window
+of `W` = 4 consecutive k-grams the smallest hash is kept with its position, the rightmost one of equal hashes. Hence any
+passage of W + K - 1 = 8 equal units in two texts leaves an equal mark in both. Texts of fewer than K units have the one
+k-gram of all their units, texts of fewer than W k-grams one window. An empty or null text has no marks. Likeness of two
+fingerprints: Jaccard of their sets of hashes; two without marks are alike (1.0).
+
+A mark is one long: 31 bits of hash, then 2^31 - 1 - position, so that least() finds the smallest hash and, among equal
 ones, the rightmost position; a position fits, as no text has 2^31 units.
 
 Everything is a DataFrame expression. The next document in ascending id order comes without a global sort: ids fall
@@ -25,17 +28,44 @@ from pyspark.sql import functions as F
 from .common import table
 
 K, W = 5, 4
+#: The prime 2^31 - 1 and a base below it: products stay below 2^62.
+PRIME, BASE = 2147483647, 1103515245
+#: Scripts that put no spaces between words.
+UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
 SPLITS, BUCKET_ROWS = 64, 512
 
 
+def units_of(text: Column) -> Column:
+    """The units of a text; without a white space or a character of UNSPACED the text is one unit."""
+    cut = F.when(F.regexp_like(text, F.lit(UNSPACED)), F.split(text, rf"\s+|(?<={UNSPACED})|(?={UNSPACED})")).otherwise(F.split(text, r"\s+"))
+    return F.transform(cut, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
+
+
+def with_grams(df: DataFrame, units: str, out: str, k: int = K) -> DataFrame:
+    """Adds `out`: the rolling hash of the k units from each position on (units past the end count as 0)."""
+    of, n, made = {1: units}, 1, []
+    join = lambda left, right, size: f"transform({left}, (x, i) -> (x * {pow(BASE, size, PRIME)}L + coalesce(get({right[0]}, i + {right[1]}), 0L)) % {PRIME}L)"
+    while 2 * n <= k:  # grams of 2, 4, 8, ... units
+        of[2 * n] = f"{out}_{2 * n}"
+        made.append(of[2 * n])
+        df = df.withColumn(of[2 * n], F.expr(join(of[n], (of[n], n), n)))
+        n *= 2
+    have, name = n, of[n]
+    while have < k:  # the rest by the binary digits of k
+        n = max(x for x in of if x <= k - have)
+        made.append(f"{out}_and_{have + n}")
+        df = df.withColumn(made[-1], F.expr(join(name, (of[n], have), n)))
+        have, name = have + n, made[-1]
+    return df.withColumn(out, F.expr(f"slice({name}, 1, greatest(size({units}) - {k - 1}, 1))")).drop(*made)
+
+
 def with_marks(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Adds `out`, array<bigint>: the marks of column `text` in order of position."""
     units, grams = f"{out}_units", f"{out}_grams"
-    later = ", ".join(f"get({units}, i + {j})" for j in range(1, k))
     least = ", ".join(f"get({grams}, i + {j})" for j in range(1, w))
+    df = with_grams(df.withColumn(units, units_of(F.coalesce(text, F.lit("")))), units, grams, k)
     return (
-        df.withColumn(units, F.expr(f"transform(split(coalesce({text}, ''), ' '), x -> xxhash64(x))"))
-        .withColumn(grams, F.expr(f"transform(slice({units}, 1, greatest(size({units}) - {k - 1}, 1)), (x, i) -> shiftleft(xxhash64(x, {later}) & 4294967295L, 31) | (2147483647L - i))"))
+        df.withColumn(grams, F.expr(f"transform({grams}, (x, i) -> shiftleft(x, 31) | (2147483647L - i))"))
         .withColumn(out, F.expr(f"if(coalesce({text}, '') = '', array(), array_distinct(transform(slice({grams}, 1, greatest(size({grams}) - {w - 1}, 1)), (x, i) -> least(x, {least}))))"))
         .drop(units, grams)
     )

@@ -52,7 +52,7 @@ def simhash(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
     end = np.cumsum(size) - 1
     start = end + 1 - size
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(start[: 1 - k].tolist(), end[k - 1 :].tolist(), strict=True)], np.uint64)
+    h = np.array([digest(joined[a:b], seed) for a, b in zip(start[: len(start) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)], np.uint64)
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 100_000):
         ones += np.unpackbits(h[lo : lo + 100_000].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)

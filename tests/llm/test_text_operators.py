@@ -176,18 +176,57 @@ def test_winnowing_against_brute_force(spark):
     got = df.select("doc_id", "text", "n_chars", "next_text", "edited", "marks", fingerprints.positions(F.col("marks")).alias("pos")).collect()
     order = sorted(zip(ids, [t or "" for t in texts]), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     follow = {(i, t): order[(k + 1) % len(order)][1] for k, (i, t) in enumerate(order)}
+    units = {r.t: r.u for r in df.select(F.col("text").alias("t"), fingerprints.units_of(F.col("text")).alias("u")).collect()}
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in got) == [(i is not None, i or 0, t) for i, t in order]
     for r in got:
         assert r.next_text == follow[r.doc_id, r.text] and r.n_chars == len(r.text)
         half = len(r.text) // 2
         assert r.edited == r.text[: len(r.text) - half] + r.next_text[:half]
-        units = r.text.split(" ")
-        grams = [" ".join(units[i : i + fingerprints.K]) for i in range(max(len(units) - fingerprints.K + 1, 1))]
         marks = [(v >> 31, p) for v, p in zip(r.marks, r.pos)]
-        # Equal grams have equal hashes, so hashes can be taken from the grams that were kept; each window keeps its minimum.
-        if len(grams) < 3000:
-            hashed = [int(x) for x in spark.createDataFrame([(units,)], "u array<string>").selectExpr(f"transform(sequence(0, {len(grams) - 1}), i -> xxhash64(" + ", ".join(f"xxhash64(get(u, i + {j}))" if j == 0 else f"if(get(u, i + {j}) is null, null, xxhash64(get(u, i + {j})))" for j in range(fingerprints.K)) + ") & 4294967295L) as h").first().h]
-            assert marks == slow_marks(r.text, hashed), r.text[:50]
+        u = units[r.text]
+        if len(u) < 3000 and r.text:
+            # The recurrence of the rolling hash, one step at a time.
+            lead, prime, base = u[: fingerprints.K], fingerprints.PRIME, fingerprints.BASE
+            h = [sum(x * pow(base, fingerprints.K - 1 - j, prime) for j, x in enumerate(lead)) % prime]
+            for k in range(len(u) - fingerprints.K):
+                h.append(((h[-1] - u[k] * pow(base, fingerprints.K - 1, prime)) * base + u[k + fingerprints.K]) % prime)
+            assert marks == slow_marks(r.text, h), r.text[:50]
+
+
+def test_units_of_texts(spark):
+    texts = ["a b", " a\tb\n\nc ", "日本 go 語", "ไทย", "one", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    size = [r[0] for r in df.select(F.size(fingerprints.units_of(F.col("t")))).collect()]
+    assert size[0] == 2 and size[1] in (4, 5) and size[2] >= 4 and size[3] in (3, 4) and size[4:] == [1, 1]
+    rng = random.Random(1)
+    signs = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80))  # a shared passage without spaces leaves a mark
+    df = frame(spark, ["頭" + signs[:30] + "尾" + signs[70:], signs[40:] + "別" + signs[:30]])
+    a, b = [{v >> 31 for v in r.marks} for r in fingerprints.fingerprint_documents(df).orderBy("doc_id").collect()]
+    assert a & b
+
+
+def test_fingerprint_query_against_brute_force(spark, tmp_path):
+    """Every column of the query."""
+    rng = random.Random(14)
+    base = prose(rng, 60)
+    texts = ["", None, base, base + " more", prose(rng, 40), base, "x", "two\twords", prose(rng, 7)]
+    ids = [5, 2, 9, 30, 11, 40, 3, 8, 100]
+    frame(spark, texts, ids).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.query(spark, str(tmp_path)).collect()}
+    order = sorted(zip(ids, [t or "" for t in texts]))
+    every = {i: (t, t[: len(t) - len(t) // 2] + (n := order[(k + 1) % len(order)][1])[: len(t) // 2], n) for k, (i, t) in enumerate(order)}
+    flat = sorted({t for x in every.values() for t in x})
+    df = fingerprints.with_marks(spark.createDataFrame([(t,) for t in flat], "t string"), "t", "m")
+    marks = {r.t: r.m for r in df.collect()}
+    sets = {t: {v >> 31 for v in m} for t, m in marks.items()}
+    like = lambda a, b: 1.0 if not sets[a] and not sets[b] else len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    digest = lambda t: hashlib.md5(",".join(map(str, marks[t])).encode()).hexdigest()
+    assert set(got) == set(every)
+    for i, (t, e, n) in every.items():
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(e.encode()).hexdigest(), digest(t), digest(e))
+        assert np.isclose(r.near_edited, like(t, e)) and np.isclose(r.near_next, like(t, n)) and r.n_marks == len(marks[t])
+    assert got[9].fingerprint == got[40].fingerprint
 
 
 def test_winnowing_guarantee_and_equal_texts(spark):
