@@ -1,7 +1,7 @@
-"""Connected components of a graph given as a table of links, by alternating large and small stars.
+"""Connected components of a graph given as a table of links, by hooking and pointer jumping.
 
-Links are pairs of ids (long). Each round hooks neighbours to the smallest id they know; the table is written to the
-shared folder after each round, so lineage stays short and a lost executor costs one round. Nothing but counts reaches
+Links are pairs of ids (long). Each round hooks neighbours and their roots to the smallest root they know and then lets
+every vertex take its root's root; the table is written to the shared folder after each round, so lineage stays short and a lost executor costs one round. Nothing but counts reaches
 the driver. A vertex with very many links is no single task's burden: minima are aggregated before the shuffle, and the
 joins that follow can be split by the adaptive planner.
 """

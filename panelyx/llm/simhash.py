@@ -12,7 +12,12 @@ counts that are estimated from the sample's distance distribution in each part,
 signatures that a part's radius needs. Each fingerprint is put into the buckets of its part values within t_i
 (enumerated), and candidates of a bucket are verified on all 64 bits in numpy. A bucket is cut into blocks of BLOCK rows
 and pairs of blocks are tasks of their own, so no bucket lands in one task; what leaves a task is a spanning forest of
-the links found there, not all of them. Components follow from links (graph.components), whose vertices are numbered by
+the links found there, not all of them. Comparing all pairs of a bucket is quadratic, so fingerprints of a bucket of over
+DENSE rows are linked in another way, which is linear and as exact: each goes to all 64-bit values within TAU - 1 bits,
+and at each value all that have come are linked to the smallest of those within one bit. Such links span at most TAU
+bits, and two fingerprints within TAU bits have a value between them that is within one bit of the one and TAU - 1 of the
+other; a value has at most as many visitors as there are values within TAU - 1 bits (2,081), whatever the table's size.
+Components follow from links (graph.components), whose vertices are numbered by
 fingerprint; a component's id is its smallest doc_id.
 
 Null texts count as empty; null ids link like others and are kept with a null component only if no row of it has an id,
@@ -29,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, short_batches, table, trim
@@ -37,6 +42,8 @@ from .graph import components
 
 TAU, SHINGLE, SEED = 3, 3, 42
 SAMPLE, BLOCK, PARTS = 4_000, 2_048, (2, 3, 4)
+#: Rows of a bucket beyond which 2,081 values a row cost less than comparing all pairs.
+DENSE = 256 * BLOCK
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -175,6 +182,22 @@ def forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[t
     return out
 
 
+def link_by_values(rows: DataFrame, tau: int = TAU) -> DataFrame:
+    """rows: (v, fp), distinct fp. Returns links (a, b) that join all within tau bits, of rows no matter how dense."""
+    masks = [[0], *([sum(1 << b for b in flip) for flip in combinations(range(64), r)] for r in range(1, max(tau - 1, 1) + 1))]
+    near = np.repeat([r <= 1 for r in range(len(masks))], [len(m) for m in masks])
+    flips = np.array(sum(masks, []), np.uint64)
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            values = (f.fp.to_numpy(np.int64).view(np.uint64)[:, None] ^ flips[None, :]).view(np.int64)
+            yield pd.DataFrame({"value": values.ravel(), "v": np.repeat(f.v.to_numpy(), len(flips)), "near": np.tile(near, len(f))})
+
+    visits = rows.select("v", "fp").mapInPandas(visit, "value long, v long, near boolean")
+    hub = F.min(F.when(F.col("near"), F.col("v"))).over(Window.partitionBy("value"))
+    return visits.select(hub.alias("a"), F.col("v").alias("b")).filter("a is not null and a <> b").distinct()
+
+
 def link(classes: DataFrame) -> DataFrame:
     """classes: (v, fp), distinct fp. Returns links (a, b): enough of them to join all that are within TAU."""
     n = classes.count()
@@ -191,7 +214,8 @@ def link(classes: DataFrame) -> DataFrame:
 
     signed = classes.mapInPandas(sign, "part int, value long, v long, fp long")
     size = signed.groupBy("part", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    held = signed.join(size, ["part", "value"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    shared = signed.join(size, ["part", "value"])
+    held = shared.filter(F.col("n") <= DENSE).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     # A row of block i goes to the pairs (i, j) and (j, i), written low-high; a bucket of one block has the pair (0, 0).
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "value", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "v", "fp")
     # Small buckets are gathered many to a group: a bucket's pair of blocks goes to one of GROUPS groups.
@@ -212,7 +236,10 @@ def link(classes: DataFrame) -> DataFrame:
                 out += forest(v[l], v[r], bits[l], bits[r])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("g").applyInPandas(verify, "a long, b long")
+    links = dealt.groupBy("g").applyInPandas(verify, "a long, b long")
+    if n <= DENSE:
+        return links
+    return links.unionByName(link_by_values(shared.filter(F.col("n") > DENSE).select("v", "fp").distinct()))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -203,10 +203,11 @@ def test_simhash_null_ids_link_others(spark):
     assert {(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got} == set(zip(ids, fps, want))
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_simhash_index_finds_every_link(spark, monkeypatch, block):
-    """Dense clusters, whose buckets are cut into blocks; all plans of the index."""
+@pytest.mark.parametrize(("block", "dense"), [(4, 10**6), (2048, 10**6), (4, 20), (4, 1)])
+def test_simhash_index_finds_every_link(spark, monkeypatch, block, dense):
+    """Dense clusters, whose buckets are cut into blocks or linked by values; all plans of the index."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = random.Random(22)
     fps = set()
     for _ in range(6):
