@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import os
 import uuid
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes per Arrow batch handed to Python: whole texts travel, so batches are kept short (a longer text is its own).
 ARROW_ROWS, ARROW_BYTES = 512, 8_000_000
+#: Spark's setting by which an execution removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,16 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Shuffle files behind a written table are of no more use, but Spark removes them only when the driver collects its
-    garbage, which may be long after the executors' disks are full. So the driver is asked to do so now.
+    The shuffle files behind a written table are of no more use, so Spark is told to remove them at the end of the write;
+    else they stay until the driver happens to collect its garbage, and fill the executors' disks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelyx-{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
