@@ -126,34 +126,43 @@ def composite(p: DataFrame, names: list[str], min_assets: int, min_features: int
     return p.withColumn("composite", F.when(held >= min_features, total / held)).drop(*z)
 
 
-def reversal_family(x: str, r: str, family: str, lookback: int, vol_window: int = 14, log: bool = True) -> dict[str, Column]:
-    """One of four families at a lookback; xsec families still need demeaning across symbols (see panel.demean)."""
-    ret = -bar_return(x, lookback, log=log)
-    if family in ("reversal", "xsec_reversal"):
-        return {"raw": ret}
-    if family in ("vol_adj_reversal", "vol_adj_xsec_reversal"):
-        return {"raw": div(ret, rolling_std(r, vol_window))}
-    raise ValueError(f"unknown family {family!r}")
-
-
-#: Windows of the features that have no horizon in their name, by settings key.
+def reversal_family(p: DataFrame, out: str, family: str, lookback: int, vol_window: int = 14, log: bool = True, mask: str | None = None) -> DataFrame:
+    """Adds `out`, one of four families at a lookback: minus the return, over the volatility if the family says so.
+
+    The xsec families subtract the mean across symbols: xsec_reversal that of the mask's members, vol_adj_xsec_reversal
+    that of all. p has close and r, the one-bar return.
+    """
+    if family not in REVERSAL_FAMILIES:
+        raise ValueError(f"unknown family {family!r}")
+    p = p.withColumn(out, vol_adjusted_move("close", "r", lookback, vol_window, log) if family.startswith("vol_adj") else -bar_return("close", lookback, log=log))
+    if "xsec" not in family:
+        return p
+    return p.withColumn(out, F.col(out) - masked_mean(out, F.col(mask) if mask and family == "xsec_reversal" else None))
+
+
+#: Families of the reversal sweep; features with a horizon in their names (prefix); other features.
+REVERSAL_FAMILIES = ("reversal", "xsec_reversal", "vol_adj_reversal", "vol_adj_xsec_reversal")
+HORIZON_FEATURES = (*REVERSAL_FAMILIES, "vol_exhaustion", "vol_blowoff")
+WINDOW_FEATURES = ("price_zscore", "bollinger_touch", "extreme_signed_z", "extreme_flag", "distance_from_vwap", "distance_from_ma", "rsi_proxy", "range_position", "xsec_rank_price_z")
+
+#: Part of a feature's name, and the setting that holds its window.
 FIXED_WINDOWS = {
-    "price_z": "price_zscore_window_bars",
+    "price_zscore": "price_zscore_window_bars",
     "bollinger": "bollinger_window_bars",
-    "vwap": "vwap_window_bars",
-    "ma_dist": "ma_window_bars",
     "rsi": "rsi_window_bars",
-    "range": "range_window_bars",
-    "extreme": "vol_window_bars",
-    "volume": "volume_window_bars",
+    "range": "range_position_window_bars",
+    "xsec_rank_price_z": "price_zscore_window_bars",
 }
 
 
-def feature_lookback(name: str, settings: dict, default: int) -> int:
-    """A name's lookback: its _h<n> suffix, else the fixed window of its kind, else the default."""
+def horizon_of(name: str) -> tuple[str, int | None]:
+    """(name without its _h<n> ending, n or None)."""
     head, _, tail = name.rpartition("_h")
-    if head and tail.isdigit():
-        return int(tail)
-    return next((int(settings[key]) for part, key in FIXED_WINDOWS.items() if part in name and key in settings), default)
+    return (head, int(tail)) if head and tail.isdigit() else (name, None)
 
 
+def feature_lookback(name: str, settings) -> int:
+    """The lookback of a feature for Newey-West lags: its horizon, else the window of its kind, else the reversal's."""
+    horizon = horizon_of(name)[1]
+    key = next((key for part, key in FIXED_WINDOWS.items() if part in name), "reversal_lookback_bars")
+    return horizon if horizon is not None else int(getattr(settings, key))

@@ -455,7 +455,7 @@ def _cells_sql(configs: list[dict], label, raw) -> str:
 
 @add("reversal_grid", grid_sql(_cells_sql(REVERSAL, reversal_label, lambda c: f"-({ret(c['lookback'])})")))
 def reversal_grid(spark, sf):
-    return _grid(spark, sf, {f"v{k}": features.reversal_family("close", "r", "reversal", k)["raw"] for k in (2, 5)}, REVERSAL, reversal_label)
+    return _grid(spark, sf, {f"v{k}": -bar_return("close", k) for k in (2, 5)}, REVERSAL, reversal_label)
 
 
 @add("momentum_grid", grid_sql(_cells_sql(MOMENTUM, momentum_label, lambda c: skipped("sum", "r", c["horizon"], c["skip"]))))

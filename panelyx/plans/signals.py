@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bar_return, cross_section
+from ..functions.columns import bar_return, cross_section, div
 from ..operators import features, panel
-from .settings import seconds_of
+from .settings import ResearchSettings, seconds_of
 
 
 def finish(p: DataFrame, raw: str, universe: DataFrame | None, transform: str, min_assets: int, rebalance: int) -> DataFrame:
@@ -58,3 +58,39 @@ def feature_column(family: str, horizon: int | None = None, variant: str | None
     if variant not in FAMILIES[family]:
         raise KeyError(f"unknown variant {variant!r} of {family}")
     return f"{variant}_{horizon}"
+
+
+def reversal_feature(p: DataFrame, name: str, s: ResearchSettings, mask: str | None = None) -> DataFrame:
+    """Adds the reversal feature of that name, as a column of that name; KeyError for an unknown one.
+
+    p is a panel with r, the one-bar return. Names are a family of features.HORIZON_FEATURES with an ending _h<n>, or one
+    of features.WINDOW_FEATURES; windows come from the settings (the moving average takes that of the volume-weighted price).
+    """
+    family, h = features.horizon_of(name)
+    if h is not None and family in features.REVERSAL_FAMILIES:
+        return features.reversal_family(p, name, family, h, s.vol_window_bars, s.log_returns, mask)
+    if h is not None and family in features.HORIZON_FEATURES:
+        move, ratio = -bar_return("close", h, log=s.log_returns), features.volume_ratio("volume", s.volume_window_bars)
+        return p.withColumn(name, div(move, ratio) if family == "vol_exhaustion" else move * ratio)
+    if name not in features.WINDOW_FEATURES:
+        raise KeyError(f"unknown feature {name!r}")
+    if name == "xsec_rank_price_z":
+        p = p.withColumn(name, features.price_zscore("close", s.price_zscore_window_bars))
+        return p.withColumn(name, features.xsec_rank_of(name, s.min_assets_per_timestamp))
+    extreme = features.extreme_move("r", s.vol_window_bars, s.extreme_move_threshold_sigma)
+    found = {
+        "price_zscore": features.price_zscore("close", s.price_zscore_window_bars),
+        "bollinger_touch": features.bollinger_touch("close", s.bollinger_window_bars),
+        "extreme_signed_z": extreme["extreme_z"],
+        "extreme_flag": extreme["extreme_reversal"],
+        "distance_from_vwap": features.vwap_distance("close", "volume", s.vwap_window_bars),
+        "distance_from_ma": features.ma_distance("close", s.vwap_window_bars),
+        "rsi_proxy": features.rsi_proxy("r", s.rsi_window_bars),
+        "range_position": features.range_position("close", s.range_position_window_bars),
+    }
+    return p.withColumn(name, found[name])
+
+
+def reversal_names(horizons: tuple[int, ...]) -> list[str]:
+    """Every reversal feature's name, families of all horizons first."""
+    return [f"{f}_h{h}" for f in features.HORIZON_FEATURES for h in horizons] + list(features.WINDOW_FEATURES)

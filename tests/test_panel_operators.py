@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelyx.functions import columns as C
 from panelyx.operators import features, panel, spreads
-from panelyx.plans import signals
+from panelyx.plans import settings, signals
 
 T0 = dt.datetime(2023, 1, 1)
 
@@ -202,15 +202,45 @@ def test_roll_spread_of_a_bouncing_price(spark):
     assert abs(got["A"] - 0.02) < 0.002 and got["B"] is None
 
 
-def test_resolvers():
-    s = {"price_zscore_window_bars": 24, "rsi_window_bars": 14}
-    assert features.feature_lookback("reversal_h12", s, 2) == 12 and features.feature_lookback("price_z", s, 2) == 24 and features.feature_lookback("other", s, 2) == 2
+RESEARCH = settings.from_dict(settings.ResearchSettings, {"price_zscore_window_bars": 7, "bollinger_window_bars": 6, "rsi_window_bars": 5, "range_position_window_bars": 4, "vol_window_bars": 3, "vwap_window_bars": 8, "volume_window_bars": 9, "reversal_lookback_bars": 2, "extreme_move_threshold_sigma": 0.5})
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [*((f"{f}_h{h}", h) for f in features.HORIZON_FEATURES for h in (1, 12)), ("price_zscore", 7), ("bollinger_touch", 6), ("extreme_signed_z", 2), ("extreme_flag", 2),
+     ("distance_from_vwap", 2), ("distance_from_ma", 2), ("rsi_proxy", 5), ("range_position", 4), ("xsec_rank_price_z", 7), ("other", 2)],
+)
+def test_feature_lookbacks(name, want):
+    assert features.feature_lookback(name, RESEARCH) == want
+
+
+def test_resolvers(spark):
     assert signals.feature_column("relative", 5, "minus_benchmark") == "minus_benchmark_5" and signals.feature_column("baseline") == "signal"
     for bad in (("none", 5, None), ("core", None, None), ("core", 5, "other")):
         with pytest.raises(KeyError):
             signals.feature_column(*bad)
+    rng = np.random.default_rng(2)
+    p = long(spark, {s: [100 * math.exp(x) for x in np.cumsum(0.02 * rng.normal(size=20))] for s in "ABCDEFG"})
+    p = p.withColumns({"r": C.bar_return("close"), "volume": 1 + F.col("bar_id") % 3, "odd": F.col("symbol").isin("A", "C")})
+    names = signals.reversal_names((1, 3))
+    for n in names:
+        p = signals.reversal_feature(p, n, RESEARCH, "odd")
+    rows = p.collect()
+    assert len(names) == 21 and all(any(r[n] is not None for r in rows) for n in names)
+    by = {(r.bar_id, r.symbol): r for r in rows}
+    for t in (5, 12, 19):
+        rets = {s: math.log(by[t, s].close / by[t - 3, s].close) for s in "ABCDEFG"}
+        for s in "ABCDEFG":
+            r = by[t, s]
+            assert math.isclose(r.reversal_h3, -rets[s]) and math.isclose(r.xsec_reversal_h3, -(rets[s] - (rets["A"] + rets["C"]) / 2), abs_tol=1e-12)
+            sd = {x: np.std([by[t - k, x].r for k in range(3)]) for x in "ABCDEFG"}
+            mean = np.mean([rets[x] / sd[x] for x in "ABCDEFG"])
+            assert math.isclose(r.vol_adj_reversal_h3, -rets[s] / sd[s], rel_tol=1e-9) and math.isclose(r.vol_adj_xsec_reversal_h3, -(rets[s] / sd[s] - mean), rel_tol=1e-7, abs_tol=1e-9)
+    for bad in ("none_h3", "reversal", "price_z", "reversal_hx"):
+        with pytest.raises(KeyError):
+            signals.reversal_feature(p, bad, RESEARCH)
     with pytest.raises(ValueError):
-        features.reversal_family("close", "r", "none", 2)
+        features.reversal_family(p, "x", "none", 2)
 
 
 def test_signals_end_to_end(spark):

@@ -79,10 +79,68 @@ def test_pipeline_runs_and_logs(spark, tmp_path):
     assert sorted(r.status for r in spark.read.parquet(f"{store}/pipeline_run_summary").collect()) == ["failed", "ok"]
 
 
+BASE = """
+top_n: 30
+lookback_days: 30
+raw_dir: data/raw
+data_start_date: 2020-09-30 23:59:59+00:00
+data_end_date: 2025-12-31 23:59:59+00:00
+minute_data_enabled: true
+warning_thresholds: {extreme_return_abs: 0.3, short_life_min_rows: 100}
+excluded_bases: [USDT, EUR]
+"""
+
+
+def research(tmp_path, text):
+    (tmp_path / "base.yaml").write_text(BASE)
+    (tmp_path / "own.yaml").write_text(f"reference_base_config: {tmp_path}/base.yaml\n" + text)
+    return settings.load_research(f"{tmp_path}/own.yaml")
+
+
+def test_research_defaults(tmp_path):
+    r = research(tmp_path, "")
+    assert (r.signal_timeframe, r.beta_shrinkage, r.beta_min_periods_bars, r.max_hedge_weight, r.max_assets, r.beta_hedge_enabled) == ("4h", 0.2, None, None, None, False)
+    assert r.feature_horizons_bars == r.momentum_lookback_grid_bars == (1, 3, 6, 12) and r.universe_top_n_grid == (10, 20) and r.holding_period_grid_bars == (1, 3)
+    assert r.execution_delay_minutes == 1 and r.execution_delay_minutes_grid == (0, 1, 5, 15, 30, 60) and r.fee_tier_grid_bps == (2.0,)
+    assert (r.reversal_lookback_bars, r.price_zscore_window_bars, r.bollinger_window_bars, r.rsi_window_bars, r.range_position_window_bars, r.extreme_move_threshold_sigma) == (2, 24, 20, 14, 12, 2.0)
+    # the base file's own settings, and what follows from them
+    assert r.top_n == 30 and r.minute_data_enabled and r.excluded_bases == ("USDT", "EUR") and r.warning_thresholds["extreme_return_abs"] == 0.3 and r.warning_thresholds["high_universe_turnover"] == 0.5
+    assert r.train_split_date == r.data_end_date and str(r.data_end_date).startswith("2025-12-31")
+
+
+def test_research_overrides(tmp_path):
+    r = research(tmp_path, """
+signal_timeframe: 24h
+data_end_date: 2024-06-30 23:59:59+00:00
+train_split_date: 2022-06-30 23:59:59+00:00
+momentum_skip_grid_bars: [1, 2, 3]
+feature_horizons_bars: [5, 10, 20]
+holding_period_grid_bars: [1, 14]
+cross_sectional_transform_grid: [rank]
+universe_top_n_grid: [10, 20]
+use_monthly_universe: false
+max_assets: 20
+beta_min_periods_bars: 70
+max_hedge_weight: 2
+beta_hedge_enabled: true
+residual_space: SIMPLE
+fee_bps: 10.0
+fee_tier_grid_bps: [5.0, 40.0]
+""")
+    assert str(r.train_split_date).startswith("2022-06-30") and str(r.data_end_date).startswith("2024") and r.residual_space == "simple"
+    assert r.max_assets == 20 and r.beta_min_periods_bars == 70 and r.max_hedge_weight == 2.0 and r.beta_hedge_enabled and not r.use_monthly_universe
+    assert r.fee_tier_grid_bps == (5.0, 10.0, 40.0)
+    assert r.backtest_options() == {"top": 0.2, "bottom": 0.2, "fee_bps": 10.0, "half_spread_bps": 1.0, "delay": 0, "log": True}
+    configs = r.momentum_configs()
+    assert len(configs) == 3 * 3 * 2 * 2 and configs[0] == {"horizon": 5, "skip": 1, "top_n": 10, "holding": 1, "transform": "rank", "raw": "v5_1", "lag": 4}
+    assert len(r.reversal_configs()) == 4 * 2 * 2 and len(r.reversal_configs(("rank", "zscore"))) == 32
+    assert dict(settings.as_rows(r))["momentum_skip_grid_bars"] == "[1, 2, 3]"
+
+
 def test_settings(tmp_path):
-    r = settings.from_dict(settings.ResearchSettings, {"fee_bps": "10", "fee_tiers_bps": [5, 20]})
-    assert r.fee_bps == 10.0 and r.fee_tiers_bps == (5.0, 10.0, 20.0)
-    for bad in ({"residual_space": "x"}, {"minute_execution_enabled": True, "execution_delay_bars": 1}, {"market_index_mode": "x"}, {"beta_shrinkage": 2}, {"cross_sectional_transform": "x"}, {"unknown": 1}):
+    r = settings.from_dict(settings.ResearchSettings, {"fee_bps": "10", "fee_tier_grid_bps": [5, 20]})
+    assert r.fee_bps == 10.0 and r.fee_tier_grid_bps == (5.0, 10.0, 20.0)
+    for bad in ({"residual_space": "x"}, {"use_minute_execution": True, "execution_delay_bars": 1}, {"market_index_mode": "x"}, {"beta_shrinkage": 2}, {"unknown": 1}):
         with pytest.raises(ValueError):
             settings.from_dict(settings.ResearchSettings, bad)
     with pytest.raises(ValueError):
