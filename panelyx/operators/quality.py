@@ -28,16 +28,19 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ts", "symbol").count().filter("count > 1").agg(F.count("*").alias("n"))
 
 
-def row_faults(rows: DataFrame) -> DataFrame:
-    """One row of counts in one pass: null_rows, bad_ohlc, negative_vals."""
+def fault_counts() -> list[Column]:
+    """Aggregates: null_rows, bad_ohlc, negative_vals."""
     def n(cond: Column) -> Column:
         return F.count(F.when(cond, 1))
 
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     missing = o.isNull() | h.isNull() | l.isNull() | c.isNull() | F.col("volume").isNull()
-    return rows.agg(
-        n(missing).alias("null_rows"), n((h < F.greatest(o, c)) | (l > F.least(o, c)) | (h < l)).alias("bad_ohlc"), n((F.col("volume") < 0) | (F.col("trades") < 0)).alias("negative_vals")
-    )
+    return [n(missing).alias("null_rows"), n((h < F.greatest(o, c)) | (l > F.least(o, c)) | (h < l)).alias("bad_ohlc"), n((F.col("volume") < 0) | (F.col("trades") < 0)).alias("negative_vals")]
+
+
+def row_faults(rows: DataFrame) -> DataFrame:
+    """One row of counts in one pass."""
+    return rows.agg(*fault_counts())
 
 
 def gaps(rows: DataFrame, hours: float = 1.0) -> DataFrame:
@@ -46,11 +49,19 @@ def gaps(rows: DataFrame, hours: float = 1.0) -> DataFrame:
     return rows.select("symbol", "ts", gap.alias("gap_hours")).filter(F.col("gap_hours") > hours)
 
 
+def count_checks(rows: DataFrame, gap_check: bool = True) -> dict[str, int]:
+    """Counts of all checks from one pass: faults are summed per key, whose repeats and gaps follow from the same rows."""
+    per = rows.groupBy("ts", "symbol").agg(F.count("*").alias("n_"), *fault_counts())
+    late = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_own()) > 3_600_000_000
+    per = per.withColumn("late_", late if gap_check else F.lit(False))
+    total = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("null_rows", "bad_ohlc", "negative_vals")]
+    found = per.agg(*total, F.count(F.when(F.col("n_") > 1, 1)).alias("duplicate_keys"), F.count(F.when(F.col("late_"), 1)).alias("gaps_sample")).first().asDict()
+    return found if gap_check else {k: v for k, v in found.items() if k != "gaps_sample"}
+
+
 def run_checks(rows: DataFrame, gap_check: bool = True) -> dict[str, int]:
-    """Counts of all checks; raises ValueError that lists those which failed."""
-    found = row_faults(rows).first().asDict() | {"duplicate_keys": duplicate_keys(rows).first()[0]}
-    if gap_check:
-        found["gaps_sample"] = gaps(rows).count()
+    """The counts; raises ValueError that lists those which are not zero."""
+    found = count_checks(rows, gap_check)
     if bad := {k: v for k, v in found.items() if v}:
         raise ValueError(f"data checks failed: {bad}")
     return found
