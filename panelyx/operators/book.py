@@ -183,3 +183,14 @@ def realized_betas(series: DataFrame, strategy: str, market: str, min_regime: in
         F.count("*").alias("n_obs"), beta(every, 2).alias("beta_full"), div(F.covar_pop(s, m), F.stddev_pop(s) * F.stddev_pop(m)).alias("corr_full"),
         n(up).alias("n_up"), n(down).alias("n_down"), beta(up, max(min_regime, 2)).alias("beta_up"), beta(down, max(min_regime, 2)).alias("beta_down"),
     )
+
+
+def rolling_realized_beta(series: DataFrame, strategy: str, market: str, window: int = 20) -> DataFrame:
+    """(ts, rolling_beta): covariance over variance of the last `window` rows that hold both; NULL before, or where the
+    market does not vary."""
+    if window < 2:
+        raise ValueError("the window must be at least 2")
+    w = Window.orderBy("ts").rowsBetween(-(window - 1), 0)  # one row a period
+    x = series.filter(F.col(strategy).isNotNull() & F.col(market).isNotNull())
+    beta = div(F.covar_samp(strategy, market).over(w), F.var_samp(market).over(w))
+    return x.select("ts", F.when(F.count("*").over(w) == window, beta).alias("rolling_beta"))

@@ -30,18 +30,27 @@ def numbered(series: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataF
     return series.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(order))
 
 
-def newey_west(series: DataFrame, value: str, lag: int | Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, nw_se): Bartlett-weighted standard error of the mean; lags count surviving observations; NULL if not positive."""
-    stats = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+def newey_west(series: DataFrame, value: str, lag: int | Column, keys: tuple[str, ...] = (), lags: set[int] | None = None) -> DataFrame:
+    """(keys, nw_se): Bartlett-weighted standard error of the mean; lags count surviving observations; NULL if not positive.
+
+    lag may be a column that is constant within a key; lags are then the values it takes. The weights fall linearly, so
+    the weighted sum of the L observations before one is that of two plain sums over the window of L rows: no pairs are
+    made, and everything runs in the order of the series.
+    """
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    lags = {int(lag)} if lags is None else lags
     lag = lag if isinstance(lag, Column) else F.lit(int(lag))
-    e = numbered(series, value, keys).withColumn("n", F.count("*").over(stats)).withColumn("e", F.col(value) - F.avg(value).over(stats)).withColumn("L", F.least(lag.cast("int"), F.col("n").cast("int") - 1))
-    e = e.select(*keys, "i", "n", "e", "L")
-    late = e.filter("L >= 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("L")))).select(*keys, (F.col("i") - F.col("k")).alias("i"), F.col("e").alias("e_late"), (1 - F.col("k") / (F.col("L") + 1)).alias("weight"))
-    cross = late.join(e.select(*keys, "i", F.col("e").alias("e_early")), [*keys, "i"]).groupBy(*keys).agg(F.sum(F.col("weight") * F.col("e_late") * F.col("e_early")).alias("cross"))
-    own = e.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("own"))
-    both = own.join(cross, list(keys), "left") if keys else own.withColumn("one", F.lit(1)).join(cross.withColumn("one", F.lit(1)), "one", "left")
-    var = (F.col("own") + 2 * F.coalesce("cross", F.lit(0.0))) / F.col("n")
-    return both.select(*keys, F.when(var > 0, F.sqrt(var / F.col("n"))).alias("nw_se"))
+    e = numbered(series, value, keys).withColumns({"n": F.count("*").over(part), "e": F.col(value) - F.avg(value).over(part)})
+    e = e.select(*keys, "i", "n", "e", lag.cast("int").alias("asked")).withColumn("ie", F.col("i") * F.col("e"))
+    L = F.least("asked", F.col("n").cast("int") - 1)
+    before = F.lit(0.0)
+    for k in sorted(x for x in lags if x > 0):
+        rows = part.orderBy("i").rowsBetween(-k, -1)
+        plain, by_place = (F.coalesce(F.sum(x).over(rows), F.lit(0.0)) for x in ("e", "ie"))
+        before = F.when(F.col("asked") == k, plain - (F.col("i") * plain - by_place) / (L + 1)).otherwise(before)
+    own = e.withColumn("before", before).groupBy(*keys).agg(F.max("n").alias("n"), (F.sum(F.col("e") * F.col("e")) + 2 * F.sum(F.col("e") * F.col("before"))).alias("total"))
+    var = F.col("total") / F.col("n")
+    return own.select(*keys, F.when(var > 0, F.sqrt(var / F.col("n"))).alias("nw_se"))
 
 
 def ic_summary(series: DataFrame, value: str = "ic", nw_lag: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -106,27 +106,42 @@ def lifecycle(rows: DataFrame, late_days: int = 90, early_days: int = 90, min_ro
 
 
 def event_log(rows: DataFrame, universe: DataFrame | None, t: dict | None = None) -> DataFrame:
-    """All warnings in one schema: (event_type, symbol, ts, metric_value, threshold, notes)."""
+    """All warnings in one schema: (event_type, symbol, ts, metric_value, threshold, notes).
+
+    Warnings about a row share one pass in the symbol's order, those about a symbol one aggregate; each row or symbol is
+    exploded to the warnings that apply to it.
+    """
     t = THRESHOLDS | (t or {})
+    none = F.lit(None).cast("timestamp")
+
+    def event(cond: Column, kind: str, metric: Column, threshold: float, notes: Column, ts: Column = none) -> Column:
+        return F.when(cond, F.struct(F.lit(kind).alias("event_type"), ts.alias("ts"), metric.cast("double").alias("metric_value"), F.lit(float(threshold)).alias("threshold"), notes.alias("notes")))
 
-    def of(df: DataFrame, kind: str, metric: Column, threshold: float, notes: Column, ts: Column | None = None, symbol: str = "symbol") -> DataFrame:
-        return df.select(F.lit(kind).alias("event_type"), (F.col(symbol) if symbol in df.columns else F.lit(None).cast("string")).alias("symbol"), (ts if ts is not None else F.lit(None).cast("timestamp")).alias("ts"), metric.cast("double").alias("metric_value"), F.lit(float(threshold)).alias("threshold"), notes.alias("notes"))
-
-    life = lifecycle(rows, t["lifecycle_start_late_days"], t["lifecycle_end_early_days"], t["short_life_min_rows"])
-    parts = [
-        of(extreme_returns(rows, t["extreme_return_abs"], universe), "extreme_return", F.col("ret"), t["extreme_return_abs"], F.lit("return beyond the threshold"), F.col("ts")),
-        of(gaps(rows, t["large_symbol_gap_hours"]), "large_symbol_gap", F.col("gap_hours"), t["large_symbol_gap_hours"], F.lit("hours since the row before"), F.col("ts")),
-        of(liquidity_collapse(rows, t["liquidity_collapse_ratio"]), "liquidity_collapse", div(F.col("last_7d"), F.col("prev_30d")), t["liquidity_collapse_ratio"], F.lit("7-day mean against the 30 days before"), F.col("day").cast("timestamp")),
-        of(life.filter("is_late"), "starts_late", F.col("start_late_days"), t["lifecycle_start_late_days"], F.format_string("%d days after the first row", "start_late_days")),
-        of(life.filter("is_early"), "ends_early", F.col("end_early_days"), t["lifecycle_end_early_days"], F.format_string("%d days before the last row", "end_early_days")),
-        of(life.filter("is_short"), "short_life", F.col("n_rows"), t["short_life_min_rows"], F.format_string("%d rows", "n_rows")),
-    ]
-    if universe is not None:
-        parts.append(of(turnover(universe).filter(F.col("turnover") > t["high_universe_turnover"]), "high_universe_turnover", F.col("turnover"), t["high_universe_turnover"], F.lit("share of the snapshot before that left"), F.col("rebalance_date").cast("timestamp")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def events(df: DataFrame, *found: Column) -> DataFrame:
+        x = df.select("symbol", F.explode(F.array(*found)).alias("x")).filter("x is not null")
+        return x.select("x.event_type", "symbol", "x.ts", "x.metric_value", "x.threshold", "x.notes")
+
+    listed = rows.withColumn("in_", F.lit(True)) if universe is None else rows.join(F.broadcast(universe.select("symbol", F.lit(True).alias("in_")).distinct()), "symbol", "left")  # one row a symbol
+    ret = div(F.col("close"), F.lag("close").over(_own())) - 1
+    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_own())) / 3.6e9
+    out = events(
+        listed.withColumns({"ret": ret, "gap_hours": gap}),
+        event(F.col("in_") & (F.abs("ret") >= t["extreme_return_abs"]), "extreme_return", F.col("ret"), t["extreme_return_abs"], F.lit("return beyond the threshold"), F.col("ts")),
+        event(F.col("gap_hours") > t["large_symbol_gap_hours"], "large_symbol_gap", F.col("gap_hours"), t["large_symbol_gap_hours"], F.lit("hours since the row before"), F.col("ts")),
+    )
+    days = lambda n, text: F.format_string(f"%d {text}", n)
+    out = out.unionByName(events(
+        lifecycle(rows, t["lifecycle_start_late_days"], t["lifecycle_end_early_days"], t["short_life_min_rows"]),
+        event(F.col("is_late"), "starts_late", F.col("start_late_days"), t["lifecycle_start_late_days"], days("start_late_days", "days after the first row")),
+        event(F.col("is_early"), "ends_early", F.col("end_early_days"), t["lifecycle_end_early_days"], days("end_early_days", "days before the last row")),
+        event(F.col("is_short"), "short_life", F.col("n_rows"), t["short_life_min_rows"], days("n_rows", "rows")),
+    ))
+    low = event(F.lit(True), "liquidity_collapse", div(F.col("last_7d"), F.col("prev_30d")), t["liquidity_collapse_ratio"], F.lit("7-day mean against the 30 days before"), F.col("day").cast("timestamp"))
+    out = out.unionByName(events(liquidity_collapse(rows, t["liquidity_collapse_ratio"]), low))
+    if universe is None:
+        return out
+    left = event(F.col("turnover") > t["high_universe_turnover"], "high_universe_turnover", F.col("turnover"), t["high_universe_turnover"], F.lit("share of the snapshot before that left"), F.col("rebalance_date").cast("timestamp"))
+    return out.unionByName(events(turnover(universe).withColumn("symbol", F.lit(None).cast("string")), left))
 
 
 def run_metrics(rows: DataFrame) -> DataFrame:

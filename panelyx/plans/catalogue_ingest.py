@@ -5,6 +5,8 @@ The files are written from `events` first: one a symbol, as an exchange would ha
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -169,11 +171,12 @@ EXPECTED = {
     "signal_timeframe": '"24h"', "holding_period_bars": "20", "momentum_lookback_bars": "30", "beta_min_periods_bars": "70", "beta_shrinkage": "0.2", "beta_window_bars": "90", "max_hedge_weight": "null",
     "feature_horizons_bars": "[5, 10, 20, 40, 60]", "universe_top_n_grid": "[10, 20]", "fee_tier_grid_bps": "[5.0, 10.0, 20.0, 40.0]", "train_split_date": '"2024-06-30 23:59:59"', "use_monthly_universe": "true",
     "execution_delay_minutes_grid": "[0, 1, 5, 15, 30, 60]", "extreme_move_threshold_sigma": "2.0", "max_assets": "20", "minute_reload_mode": '"if_empty"', "lookback_days": "30",
-}
+}
+BACKTEST = '{"bottom": 0.2, "delay": 0, "fee_bps": 10.0, "half_spread_bps": 1.0, "log": true, "top": 0.2}'
 
 
-@add("research_settings", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in EXPECTED.items()) + ") t(setting, value) UNION ALL SELECT 'n_momentum_configs', '240' UNION ALL SELECT 'n_reversal_configs', '64'")
+@add("research_settings", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in EXPECTED.items()) + ") t(setting, value) UNION ALL SELECT 'n_momentum_configs', '240' UNION ALL SELECT 'n_reversal_configs', '64' UNION ALL SELECT 'backtest_options', '" + BACKTEST + "'")
 def research_settings(spark, sf):
     s = settings.from_dict(settings.ResearchSettings, RESEARCH)
     rows = [r for r in settings.as_rows(s) if r[0] in EXPECTED]
-    return spark.createDataFrame([*rows, ("n_momentum_configs", str(len(s.momentum_configs()))), ("n_reversal_configs", str(len(s.reversal_configs())))], "setting string, value string")
+    return spark.createDataFrame([*rows, ("n_momentum_configs", str(len(s.momentum_configs()))), ("n_reversal_configs", str(len(s.reversal_configs()))), ("backtest_options", json.dumps(s.backtest_options(), sort_keys=True))], "setting string, value string")

@@ -228,7 +228,7 @@ def ic_decay_matrix(spark, sf):
     p = S.line_panel(spark, sf).withColumns({f"m{k}": F.round(features.momentum_score("r", k), 10) for k in LOOKS} | {f"f{h}": forward_return("close", h) for h in HOLDS})
     cells = p.select("ts", F.explode(F.array(*[F.struct(F.lit(f"R{k}_H{h}").alias("config"), F.lit(max(k, h) - 1).alias("nw"), F.col(f"m{k}").alias("sig"), F.col(f"f{h}").alias("fwd")) for k in LOOKS for h in HOLDS])).alias("x")).select("ts", "x.*")
     series = S.held(ic.ic_series(cells, "sig", "fwd", keys=("config", "nw")))
-    se = ic.newey_west(series, "ic", F.col("nw"), ("config", "nw"))
+    se = ic.newey_west(series, "ic", F.col("nw"), ("config", "nw"), {max(k, h) - 1 for k in LOOKS for h in HOLDS})
     s = ic.ic_summary(series, keys=("config", "nw")).join(se, ["config", "nw"])
     return s.select("config", "n_obs", rounded("mean_ic").alias("mean_ic"), rounded(F.col("mean_ic") / F.col("nw_se"), 6).alias("t_stat_ic_nw"))
 
@@ -524,17 +524,6 @@ def event_log_union(spark, sf):
     return ntz(x.select("event_type", "symbol", "ts", rounded("metric_value", 6).alias("metric_value")))
 
 
-@add("selection_statistics")
-def selection_statistics(spark, sf):
-    """Driver scalars over the momentum grid's best cell; no SQL has the normal quantile."""
-    m = book.backtest_metrics(_periods(spark, sf)).first()
-    x = _periods(spark, sf)
-    skew, kurt = x.agg(*selection.sample_moments("net")).first()
-    s = m.sharpe_net / m.periods_per_year**0.5
-    rows = [(selection.max_over_trials_pvalue(2.0, 10), selection.expected_max_sharpe(10, 0.01), float(selection.probabilistic_sharpe_ratio(s, 0.0, m.n_periods, skew, kurt)), float(selection.deflated_sharpe_ratio(s, m.n_periods, 10, 0.01, skew, kurt)))]
-    return spark.createDataFrame(rows, "max_over_trials_p double, expected_max_sharpe double, psr double, dsr double")
-
-
 @add("sample_moments", f"{RETURNS}, {backtest_sql('rl', 5)} SELECT {r8('skewness(net)', 'skew', 6)}, {r8('kurtosis(net) + 3', 'kurt', 6)} FROM bt")
 def sample_moments(spark, sf):
     a, b = selection.sample_moments("net")

@@ -9,7 +9,7 @@ from ..operators import book, execution, features, ic, panel, spreads, universe
 from . import catalogue_lines as L
 from . import frames as S
 from . import grids
-from .catalogue_events import CS_CTE, METRICS, REV2, backtest_sql, banded_sql, exec_sql, metrics_sql, show_metrics, weights_sql
+from .catalogue_events import CS_CTE, METRICS, REV2, backtest_sql, exec_sql, metrics_sql, show_metrics, weights_sql
 from .catalogue_lines import BOOK, HEDGE, PBETA, pairs_sql, summary_sql
 from .frames import EVENT_PANEL, LINE_PANEL, r8
 
@@ -115,23 +115,6 @@ def bounce_floor(spark, sf):
     return bt.join(h, "one").select(rounded(F.col("g") * 1e4, 4).alias("gross_bps"), rounded(2 * F.col("t") * F.col("h"), 4).alias("floor_bps"))
 
 
-BANDS = [(4, 0.0), (4, 0.1), (12, 0.1)]
-
-
-@add("h_band_grid", EVENT_PANEL + ", s0 AS (SELECT *, " + REV2 + " AS sig FROM p)" + "".join(
-    f", sg{k} AS (SELECT * FROM s0 WHERE bar_id % {h} = 0), " + (lambda t: t.replace("bd AS", f"bd{k} AS").replace("FROM bd)", f"FROM bd{k})").replace("bl AS", f"bl{k} AS").replace("FROM bl ", f"FROM bl{k} ").replace("bs AS", f"bs{k} AS").replace("FROM bs)", f"FROM bs{k})").replace("bw AS", f"bw{k} AS").replace("banded AS", f"banded{k} AS").replace("LEFT JOIN bw ", f"LEFT JOIN bw{k} ").replace("bl.", f"bl{k}."))(banded_sql(f"sg{k}", b))
-    + f", j{k} AS (SELECT s0.ts, s0.bar_id, s0.symbol, coalesce(b.w, 0) AS w, lead(s0.close, {h}) OVER (PARTITION BY s0.symbol ORDER BY s0.bar_id) / nullif(s0.close, 0) - 1 AS realized FROM s0 LEFT JOIN banded{k} b ON b.symbol = s0.symbol AND b.bar_id = s0.bar_id - s0.bar_id % {h}), {backtest_sql(f'j{k}', h, name=f'bt{k}')}"
-    for k, (h, b) in enumerate(BANDS)) + " " + " UNION ALL ".join(f"SELECT 'H{h}_b{b}' AS config, count(*) AS n_periods, {r8('avg(turnover)', 'mean_turnover')}, {r8('avg(net)', 'mean_net', 6)} FROM bt{k}" for k, (h, b) in enumerate(BANDS)))
-def h_band_grid(spark, sf):
-    base = S.event_panel(spark, sf).withColumn("sig", F.round(-bar_return("close", 2), 10))
-    out = None
-    for h, b in BANDS:  # the plans differ by their decision rows; they are one job
-        p = S.with_forward(book.banded_book(base, "sig", h, b), h).withColumn("realized", F.exp("fwd") - 1)
-        x = book.backtest_periods(p, "w", "realized", h, fee_bps=10.0).agg(F.lit(f"H{h}_b{b}").alias("config"), F.count("*").alias("n_periods"), rounded(F.avg("turnover")).alias("mean_turnover"), rounded(F.avg("net"), 6).alias("mean_net"))
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
 @add("grid_surface", f"""WITH g AS ({L.ORACLES['reversal_grid']}), x AS (SELECT CAST(regexp_extract(config, 'lb(\\d+)', 1) AS INTEGER) AS lookback, CAST(regexp_extract(config, '_h(\\d+)', 1) AS INTEGER) AS holding, mean_ic FROM g)
 SELECT lookback, {r8('avg(mean_ic) FILTER (WHERE holding = 1)', 'h1', 7)}, {r8('avg(mean_ic) FILTER (WHERE holding = 3)', 'h3', 7)} FROM x GROUP BY lookback""")
 def grid_surface(spark, sf):

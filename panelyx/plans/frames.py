@@ -14,12 +14,22 @@ from ..operators.universe import monthly_universe
 from ..sources.tables import event_ticks, line_days
 
 
+HELD: list[DataFrame] = []
+
+
 def held(df: DataFrame) -> DataFrame:
     """A frame that several branches of a plan read: kept in memory or on the executors' disks, made again if lost.
 
-    Bars, not ticks, are held. Frames with the same plan share one copy; spark.catalog.clearCache() lets go of all.
+    Bars, not ticks, are held. Frames with the same plan share one copy. release() lets go of all that plans hold; call it
+    when their results are written.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return HELD[-1]
+
+
+def release() -> None:
+    while HELD:
+        HELD.pop().unpersist()
 
 
 def hourly_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cross_section, forward_return, pct_rank
 from ..operators import book, ic, panel
+from .frames import held
 
 
 def explode_configs(p: DataFrame, configs: list[dict], label: Callable[[dict], str], ranks: DataFrame | None) -> DataFrame:
@@ -35,9 +35,9 @@ def explode_configs(p: DataFrame, configs: list[dict], label: Callable[[dict], s
 
 def run_grid(p: DataFrame, configs: list[dict], label: Callable[[dict], str], ranks: DataFrame | None = None, top: float = 0.2, bottom: float = 0.2, fee_bps: float = 10.0, half_spread_bps: float = 1.0) -> DataFrame:
     """(config, n_obs, mean_ic, t_stat_ic_nw, sharpe_net, n_periods) of every configuration, best mean IC first."""
-    cells = explode_configs(p, configs, label, ranks).persist(StorageLevel.MEMORY_AND_DISK)  # read by the IC and the backtest
-    series = ic.ic_series(cells, "sig", "fwd", keys=("config", "nw")).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = ic.ic_summary(series, keys=("config", "nw")).join(ic.newey_west(series, "ic", F.col("nw"), ("config", "nw")), ["config", "nw"], "left")
+    cells = held(explode_configs(p, configs, label, ranks))  # read by the IC and the backtest
+    series = held(ic.ic_series(cells, "sig", "fwd", keys=("config", "nw")))
+    stats = ic.ic_summary(series, keys=("config", "nw")).join(ic.newey_west(series, "ic", F.col("nw"), ("config", "nw"), {c["lag"] for c in configs}), ["config", "nw"], "left")
     part = Window.partitionBy("config", "ts")
     ranked = cells.withColumn("pr", pct_rank("sig", part))
     long, short = F.coalesce(F.col("pr") >= F.lit(1.0 - top), F.lit(False)), F.coalesce(F.col("pr") <= F.lit(bottom), F.lit(False))
