@@ -26,13 +26,33 @@ def quantile_weights(p: DataFrame, signal: str, top: float = 0.2, bottom: float
     return p.withColumn(out, F.when(long, 1.0 / F.count(F.when(long, 1)).over(by_time())).otherwise(0.0) - F.when(short, 1.0 / F.count(F.when(short, 1)).over(by_time())).otherwise(0.0)).drop("pr")
 
 
+def _states(live: DataFrame, edges: tuple[float, float, float, float]) -> DataFrame:
+    """Adds long and short where both bands can hold a name: it is then in neither.
+
+    A row maps the state before it (0 out, 1 long, 2 short) to the one after it. Such maps are composed over ever longer
+    stretches, 1, 2, 4, ... rows, by windows that share one sort; nothing is collected, however long the history.
+    """
+    enter_l, leave_l, enter_s, leave_s = edges
+    pr, known = F.col("pr"), F.col("pr").isNotNull()
+    for s in range(3):
+        long, short = known & ((pr >= enter_l) | ((pr >= leave_l) & F.lit(s == 1))), known & ((pr <= enter_s) | ((pr <= leave_s) & F.lit(s == 2)))
+        live = live.withColumn(f"m{s}", F.when(long & ~short, 1).when(short & ~long, 2).otherwise(0))
+    rows = live.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+    step = 1
+    while step < rows:
+        live = live.withColumn("b_", F.lag(F.struct("m0", "m1", "m2"), step).over(by_symbol()))
+        then = lambda x: F.when(x == 1, F.col("m1")).when(x == 2, F.col("m2")).otherwise(F.col("m0"))
+        live = live.withColumns({f"m{s}": F.when(F.col("b_").isNull(), F.col(f"m{s}")).otherwise(then(F.col(f"b_.m{s}"))) for s in range(3)})
+        step *= 2
+    return live.withColumns({"long": F.col("m0") == 1, "short": F.col("m0") == 2}).drop("m0", "m1", "m2", "b_")
+
+
 def banded_weights(p: DataFrame, signal: str, top: float = 0.2, bottom: float = 0.2, band: float = 0.0, out: str = "w") -> DataFrame:
     """Hysteresis: a name enters at the quantile and leaves beyond the band; a missing signal forces it out; a row without
     any signal repeats the weights before (0 at the start).
 
     A membership is the last event that was not "hold": 1 enters, 0 leaves. While long and short cannot hold at the same
-    time (band < (1 - top - bottom) / 2) that is exact; for wider bands the states are folded over each symbol's ordered
-    rows with the mutual reset.
+    time (band < (1 - top - bottom) / 2) that is exact; for wider bands see _states.
     """
     _check(top, bottom)
     if band < 0:
@@ -46,15 +66,7 @@ def banded_weights(p: DataFrame, signal: str, top: float = 0.2, bottom: float =
         live = live.withColumns({"el": event(F.col("pr") >= enter_l, F.col("pr") < leave_l), "es": event(F.col("pr") <= enter_s, F.col("pr") > leave_s)})
         live = live.withColumns({"long": held(F.col("el")), "short": held(F.col("es"))}).drop("el", "es")
     else:
-        fold = (
-            "aggregate(array_sort(collect_list(struct(bar_id, pr))), cast(array() as array<struct<bar_id: int, long: boolean, short: boolean>>), (a, x) -> concat(a, array("
-            f"transform(array(named_struct('l', x.pr is not null and (x.pr >= {enter_l!r}D or (coalesce(a[size(a) - 1].long, false) and x.pr >= {leave_l!r}D)),"
-            f" 's', x.pr is not null and (x.pr <= {enter_s!r}D or (coalesce(a[size(a) - 1].short, false) and x.pr <= {leave_s!r}D)))),"
-            " y -> named_struct('bar_id', x.bar_id, 'long', y.l and not y.s, 'short', y.s and not y.l))[0])))"
-        ).replace("a[size(a) - 1]", "element_at_or_none")
-        fold = fold.replace("element_at_or_none", "try_element_at(a, -1)")
-        states = live.groupBy("symbol").agg(F.expr(fold).alias("states")).select("symbol", F.explode("states").alias("x")).select("symbol", F.col("x.bar_id").alias("bar_id"), F.col("x.long").alias("long"), F.col("x.short").alias("short"))
-        live = live.join(states, ["symbol", "bar_id"])
+        live = _states(live, (enter_l, leave_l, enter_s, leave_s))
     live = live.withColumn(out, _sides(F.col("long"), F.col("short"))).select("ts", "symbol", out)
     carried = F.coalesce(F.last(out, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
     return p.join(live, ["ts", "symbol"], "left").withColumn(out, carried).drop("pr", "any")
