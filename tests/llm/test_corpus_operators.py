@@ -362,6 +362,76 @@ def test_pipeline_stages(spark, tmp_path):
     assert run.count() == seen["packing"].count()
 
 
+def run_stages(spark, folder, rows, labels):
+    """Every stage's output, for documents with extra columns whose names operators use inside."""
+    import corpus_pipeline
+
+    extra = ("fp", "row", "runs", "key", "bucket", "rest", "label", "rank", "v")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'x' as {n}" for n in extra))
+    df.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = {"documents": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(folder)), f"test-{name}")
+        assert name == "packing" or docs.columns == df.columns
+        out[name] = docs
+    return {k: v.collect() for k, v in out.items()}
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Null and repeated ids, ties, repeated rows, nulls in every column, empty and very long texts, clashing columns."""
+    rng = random.Random(43)
+    clean = [prose(rng, rng.randint(40, 120)) for _ in range(60)]
+    rows = [(k, t, "en" if k % 3 else None, None, len(t)) for k, t in enumerate(clean[:40])]
+    rows += [(None, t, "en", "s", None) for t in clean[40:50]] + [(7, t, None, "s", len(t)) for t in clean[50:]]
+    rows += [rows[3], rows[3], (None, None, None, None, None), (99, "", "en", None, 0), (100, " ".join([prose(rng, 50)] * 2) + prose(rng, 30_000), "en", "s", 0), (101, clean[0], "en", "s", 5)]
+    got = run_stages(spark, tmp_path, rows, [(k, None, k % 2 if k % 5 else None) for k in range(10)] + [(None, 1, 1)])
+    texts = {k: [(r.doc_id, r.text) for r in v] for k, v in got.items() if k != "packing"}
+    for before, after in (("documents", "toxicity"), ("toxicity", "language"), ("language", "near_duplicates")):
+        left = list(texts[before])
+        for x in texts[after]:
+            left.remove(x)  # rows are kept as they are, never more often than they came
+    # One row of each class of equal fingerprints and their links stays, whatever ids the rows share.
+    kept = texts["near_duplicates"]
+    fps = [slow_simhash(t) for _, t in texts["language"]]
+    classes = slow_components(fps, list(range(len(fps))))
+    assert len(kept) == len(set(classes)) and {t for _, t in kept} <= {t for _, t in texts["language"]}
+    assert len(texts["repeated_passages"]) >= len(kept) - 1 and all(r.n_chars == len(r.text) for r in got["repeated_passages"] if r.text is not None)
+    packed = {}
+    for r in got["packing"]:
+        packed[r.sequence_id] = packed.get(r.sequence_id, 0) + r.length
+    assert max(packed.values()) <= 1024 and sum(r.start == 0 for r in got["packing"]) == len(texts["repeated_passages"])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert all(not v for v in run_stages(spark, tmp_path, [], []).values())
+
+
+def test_queries_run_over_the_given_tables(spark):
+    """Each query's columns and their types, over whole tables: one row a document (page, or query and rank)."""
+    from panelyx.llm import queries
+
+    n = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("documents", "pages", "embeddings")}
+    want = {
+        "op1_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+        "op2_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+        "op3_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op4_winnowing_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "op5_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+        "op6_pivot_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
+        "op7_url_filters": "page_id bigint, host string, path string, rule string, verdict string",
+        "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+        "op9_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+        "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    }
+    for name, f in queries.queries().items():
+        df = f(spark, "/root/testdata/sf0.001")
+        assert set(want[name].split(", ")) <= {f"{c.name} {c.dataType.simpleString()}" for c in df.schema}, name
+        rows = df.count()
+        assert rows == {"op6_pivot_top_k": 5 * -(-n["embeddings"] // 50), "op7_url_filters": n["pages"]}.get(name, n["documents"]) or name == "op1_packing" and rows >= n["documents"], name
+
+
 def test_registry():
     from panelyx.llm import queries
 
