@@ -4,19 +4,20 @@ Fingerprint. A-Z are lower-cased, words are runs of [^\\x20\\x09-\\x0D], shingle
 spaces, repeats included (fewer words: the whole sequence; none: fingerprint 0). h is XXH64 of the shingle's UTF-8 bytes
 with seed 42; a bit is set if it is set in over half of the h.
 
-Links join fingerprints that differ in at most TAU = 3 bits. The index works on distinct fingerprints only (a group of
+Links join fingerprints that differ in at most tau bits (TAU = 3 unless said otherwise). The index works on distinct fingerprints only (a group of
 equal texts is one row). Bits are grouped into parts so that correlated bits, measured on a bounded sample, share a part:
-such bits carry little selectivity apart. Two fingerprints within TAU must, for some part i, differ there in at most t_i
-bits whenever sum(t_i + 1) = TAU + 1 (t_i = -1 skips a part). The t_i come from dynamic programming over candidate
+such bits carry little selectivity apart. Two fingerprints within tau must, for some part i, differ there in at most t_i
+bits whenever sum(t_i + 1) = tau + 1 (t_i = -1 skips a part). The t_i come from dynamic programming over candidate
 counts that are estimated from the sample's distance distribution in each part, scaled to the whole table, plus the
 signatures that a part's radius needs. Each fingerprint is put into the buckets of its part values within t_i
 (enumerated), and candidates of a bucket are verified on all 64 bits in numpy. A bucket is cut into blocks of BLOCK rows
 and pairs of blocks are tasks of their own, so no bucket lands in one task; what leaves a task is a spanning forest of
 the links found there, not all of them. Comparing all pairs of a bucket is quadratic, so fingerprints of a bucket of over
-DENSE rows are linked in another way, which is linear and as exact: each goes to all 64-bit values within TAU - 1 bits,
-and at each value all that have come are linked to the smallest of those within one bit. Such links span at most TAU
-bits, and two fingerprints within TAU bits have a value between them that is within one bit of the one and TAU - 1 of the
-other; a value has at most as many visitors as there are values within TAU - 1 bits (2,081), whatever the table's size.
+DENSE rows are linked in another way, which is linear and as exact: each goes to all 64-bit values within b bits, and at
+each value all that have come are linked to the smallest of those within a bits, where a + b = tau and a is half of it.
+Such links span at most tau bits, and two fingerprints within tau bits have a value between them that is within a bits of
+the one and b of the other; a value has at most as many visitors as there are values within b bits (2,081 for tau = 3),
+whatever the table's size.
 Components follow from links (graph.components), whose vertices are numbered by
 fingerprint; a component's id is its smallest doc_id.
 
@@ -138,13 +139,13 @@ def allocate(bits: np.ndarray, parts: list[list[int]], n: int, tau: int = TAU) -
     return best[tau + 1]
 
 
-def plan_index(fps: np.ndarray, n: int) -> list[tuple[list[int], int]]:
+def plan_index(fps: np.ndarray, n: int, tau: int = TAU) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the parts that are probed, for n fingerprints of which fps is a sample."""
     bits = bits_of(fps)
     plans = []
     for m in PARTS:
         parts = group_bits(bits, m)
-        c, ts = allocate(bits, parts, n)
+        c, ts = allocate(bits, parts, n, tau)
         plans.append((c, [(p, t) for p, t in zip(parts, ts, strict=True) if t >= 0]))
     return min(plans, key=lambda x: x[0])[1]
 
@@ -162,8 +163,8 @@ def signatures(fps: np.ndarray, plan: list[tuple[list[int], int]]) -> Iterator[t
                 yield k, base ^ np.uint64(sum(1 << b for b in flip))
 
 
-def forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Links within TAU between ids a (bits x) and ids b (bits y), reduced to a spanning forest."""
+def forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, tau: int = TAU) -> list[tuple[int, int]]:
+    """Links within tau between ids a (bits x) and ids b (bits y), reduced to a spanning forest."""
     root: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -174,7 +175,7 @@ def forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[t
 
     out = []
     for lo in range(0, len(a), 256):
-        i, j = np.nonzero(np.bitwise_count(x[lo : lo + 256, None] ^ y[None, :]) <= TAU)
+        i, j = np.nonzero(np.bitwise_count(x[lo : lo + 256, None] ^ y[None, :]) <= tau)
         for u, v in zip(a[i + lo].tolist(), b[j].tolist(), strict=True):
             if (p := find(u)) != (q := find(v)):
                 root[max(p, q)] = min(p, q)
@@ -184,8 +185,8 @@ def forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[t
 
 def link_by_values(rows: DataFrame, tau: int = TAU) -> DataFrame:
     """rows: (v, fp), distinct fp. Returns links (a, b) that join all within tau bits, of rows no matter how dense."""
-    masks = [[0], *([sum(1 << b for b in flip) for flip in combinations(range(64), r)] for r in range(1, max(tau - 1, 1) + 1))]
-    near = np.repeat([r <= 1 for r in range(len(masks))], [len(m) for m in masks])
+    masks = [[sum(1 << b for b in flip) for flip in combinations(range(64), r)] for r in range(tau - tau // 2 + 1)]
+    near = np.repeat([r <= tau // 2 for r in range(len(masks))], [len(m) for m in masks])
     flips = np.array(sum(masks, []), np.uint64)
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,13 +199,13 @@ def link_by_values(rows: DataFrame, tau: int = TAU) -> DataFrame:
     return visits.select(hub.alias("a"), F.col("v").alias("b")).filter("a is not null and a <> b").distinct()
 
 
-def link(classes: DataFrame) -> DataFrame:
-    """classes: (v, fp), distinct fp. Returns links (a, b): enough of them to join all that are within TAU."""
+def link(classes: DataFrame, tau: int = TAU) -> DataFrame:
+    """classes: (v, fp), distinct fp. Returns links (a, b): enough of them to join all that are within tau."""
     n = classes.count()
     got = np.array([r.fp for r in classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()], np.int64)
     if n < 2:
         return classes.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
-    plan = plan_index(got, n)
+    plan = plan_index(got, n, tau)
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -230,16 +231,16 @@ def link(classes: DataFrame) -> DataFrame:
         out = []
         for s, e in zip(heads, [*heads[1:], len(f)], strict=True):
             if keys[s, 2] == keys[s, 3]:
-                out += forest(v[s:e], v[s:e], bits[s:e], bits[s:e])
+                out += forest(v[s:e], v[s:e], bits[s:e], bits[s:e], tau)
             else:
                 l, r = np.flatnonzero(mine[s:e] == keys[s, 2]) + s, np.flatnonzero(mine[s:e] == keys[s, 3]) + s
-                out += forest(v[l], v[r], bits[l], bits[r])
+                out += forest(v[l], v[r], bits[l], bits[r], tau)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = dealt.groupBy("g").applyInPandas(verify, "a long, b long")
     if n <= DENSE:
         return links
-    return links.unionByName(link_by_values(shared.filter(F.col("n") > DENSE).select("v", "fp").distinct()))
+    return links.unionByName(link_by_values(shared.filter(F.col("n") > DENSE).select("v", "fp").distinct(), tau))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -254,7 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row of each class: that of the smallest id, null ids last. Rows are judged each, whatever ids they share."""
     row = "row"
     while row in (c.lower() for c in docs.columns):
@@ -264,7 +265,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = materialise(fingerprints(numbered, row), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("first")
     classes = materialise(marked.groupBy("fp").agg(first), "classes")
-    roots = components(link(classes.select(F.col("fp").alias("v"), "fp")))
+    roots = components(link(classes.select(F.col("fp").alias("v"), "fp"), tau))
     named = classes.join(roots, classes["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(kept, row, "left_semi").select(*docs.columns)
