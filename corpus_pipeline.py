@@ -23,9 +23,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return language.keep_known(docs, language.learn(docs, ~language.held_out()))
 
 
+#: Bits in which near-duplicates' fingerprints may differ: texts that far apart share about four fifths of their five-word shingles.
+NEAR_BITS = 6
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each SimHash class."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, NEAR_BITS)
 
 
 def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
