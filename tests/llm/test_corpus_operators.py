@@ -203,8 +203,8 @@ def test_simhash_null_ids_link_others(spark):
     assert {(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got} == set(zip(ids, fps, want))
 
 
-@pytest.mark.parametrize(("block", "dense"), [(4, 10**6), (2048, 10**6), (4, 20), (4, 1)])
-def test_simhash_index_finds_every_link(spark, monkeypatch, block, dense):
+@pytest.mark.parametrize(("block", "dense", "tau"), [(4, 10**6, 3), (2048, 10**6, 3), (4, 20, 3), (4, 1, 3), (4, 10**6, 6), (4, 10**6, 2), (4, 1, 2)])
+def test_simhash_index_finds_every_link(spark, monkeypatch, block, dense, tau):
     """Dense clusters, whose buckets are cut into blocks or linked by values; all plans of the index."""
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "DENSE", dense)
@@ -214,25 +214,25 @@ def test_simhash_index_finds_every_link(spark, monkeypatch, block, dense):
         centre = rng.getrandbits(64)
         for _ in range(40):
             f = centre
-            for b in rng.sample(range(64), rng.randint(0, 5)):
+            for b in rng.sample(range(64), rng.randint(0, tau + 2)):
                 f ^= 1 << b
             fps.add(f)
     fps = sorted(fps) + [0]
     df = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "v long, fp long")
-    roots = {r.v: r.root for r in graph.components(simhash.link(df)).collect()}
-    assert [roots.get(i, i) for i in range(len(fps))] == slow_components(fps, list(range(len(fps))))
+    roots = {r.v: r.root for r in graph.components(simhash.link(df, tau)).collect()}
+    assert [roots.get(i, i) for i in range(len(fps))] == slow_components(fps, list(range(len(fps))), tau)
 
 
 def test_pigeonhole_thresholds_suffice():
     rng = np.random.default_rng(0)
     sample = rng.integers(0, 2**63, 500).astype(np.int64)
-    for n in (1_000, 10**7, 10**10):
-        plan = simhash.plan_index(sample, n)
-        assert sum(t + 1 for _, t in plan) == simhash.TAU + 1 and len({b for p, _ in plan for b in p}) == sum(len(p) for p, _ in plan)
+    for n, tau in [(n, tau) for n in (1_000, 10**7, 10**10) for tau in (3, 6)]:
+        plan = simhash.plan_index(sample, n, tau)
+        assert sum(t + 1 for _, t in plan) == tau + 1 and len({b for p, _ in plan for b in p}) == sum(len(p) for p, _ in plan)
         for _ in range(50):
             x = int(rng.integers(0, 2**63))
             y = x
-            for b in rng.choice(64, simhash.TAU, replace=False):
+            for b in rng.choice(64, tau, replace=False):
                 y ^= 1 << int(b)
             both = [{(k, int(v[0])) for k, v in simhash.signatures(np.array([z], np.uint64).view(np.int64), plan)} for z in (x, y)]
             assert both[0] & both[1]
@@ -381,6 +381,8 @@ def run_stages(spark, folder, rows, labels):
 
 def test_pipeline_with_odd_rows(spark, tmp_path):
     """Null and repeated ids, ties, repeated rows, nulls in every column, empty and very long texts, clashing columns."""
+    import corpus_pipeline
+
     rng = random.Random(43)
     clean = [prose(rng, rng.randint(40, 120)) for _ in range(60)]
     rows = [(k, t, "en" if k % 3 else None, None, len(t)) for k, t in enumerate(clean[:40])]
@@ -395,7 +397,7 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     # One row of each class of equal fingerprints and their links stays, whatever ids the rows share.
     kept = texts["near_duplicates"]
     fps = [slow_simhash(t) for _, t in texts["language"]]
-    classes = slow_components(fps, list(range(len(fps))))
+    classes = slow_components(fps, list(range(len(fps))), corpus_pipeline.NEAR_BITS)
     assert len(kept) == len(set(classes)) and {t for _, t in kept} <= {t for _, t in texts["language"]}
     assert len(texts["repeated_passages"]) >= len(kept) - 1 and all(r.n_chars == len(r.text) for r in got["repeated_passages"] if r.text is not None)
     packed = {}
