@@ -16,8 +16,9 @@ ones, the rightmost position; a position fits, as no text has 2^31 units.
 Everything is a DataFrame expression. The next document in ascending id order comes without a global sort: ids fall
 into at most SPLITS ranges by approximate percentiles, each cut evenly into buckets of about BUCKET_ROWS rows; a window
 over each bucket finds the next row, and the first row of each bucket is also sent to the bucket before as a sentinel.
-So the texts are shuffled once. Repeated ids are ordered by text; null ids come first; the only document is its own
-successor; an empty table gives an empty result; other columns are ignored.
+So the texts are shuffled once. Rows of one id are ordered by the hash of their text, then by text; those of an id that
+is frequent (it stands at several percentiles), or of none, are cut into 2^HOT_BITS buckets by that hash. Null ids come
+first; the only document is its own successor; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ K, W = 5, 4
 PRIME, BASE = 2147483647, 1103515245
 #: Scripts that put no spaces between words.
 UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
-SPLITS, BUCKET_ROWS = 64, 512
+SPLITS, BUCKET_ROWS, HOT_BITS = 64, 512, 10
 
 
 def units_of(text: Column) -> Column:
@@ -91,33 +92,43 @@ def digest(marks: str) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, text). Adds next_text: the text of the following document, after the last that of the first."""
-    lo, hi, n, cuts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.percentile_approx("doc_id", [i / SPLITS for i in range(1, SPLITS)], 10_000)).first()
-    cuts = sorted(set(cuts or []))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    lo, hi, n, found = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.percentile_approx("doc_id", [i / SPLITS for i in range(1, SPLITS)], 10_000)).first()
+    cuts = sorted(set(found or []))
+    hot = [c for c in cuts if found.count(c) > 1]  # an id that holds a share of the rows stands at several percentiles
     edges = [*(c for c in cuts if c > lo), hi] if cuts else []
+    none = F.col("doc_id").isNull()
     if cuts:
         starts = [lo, *(c + 1 for c in edges[:-1])]
         per = max(1, -(-n // max(1, len(edges))) // BUCKET_ROWS)
         table_ = F.array(*[F.lit(int(c)) for c in edges[:-1]])
         s = F.size(F.filter(table_, lambda c: c < F.col("doc_id"))) if len(edges) > 1 else F.lit(0)
         start, width = (F.array(*[F.lit(int(v)) for v in x]) for x in (starts, [max(1, -(-(b - a + 1) // per)) for a, b in zip(starts, edges, strict=True)]))
-        docs_b = docs.withColumn("s", F.when(F.col("doc_id").isNull(), -1).otherwise(s)).withColumn(
+        docs_b = docs.withColumn("s", F.when(none, -1).otherwise(s)).withColumn(
             "b", F.when(F.col("s") < 0, 0).otherwise(F.floor((F.col("doc_id") - F.get(start, F.col("s"))) / F.get(width, F.col("s")))).cast("long")
         )
     else:
         docs_b = docs.withColumns({"s": F.lit(-1), "b": F.lit(0).cast("long")})
-    buckets = docs_b.groupBy("s", "b").agg(F.min("doc_id").alias("first_id"))
+    # The rows of a frequent id, or of none, are cut by the hashes of their texts; the ids before and behind it stay apart.
+    one = F.coalesce(F.col("doc_id").isin(hot), F.lit(False)) if hot else F.lit(False)
+    below = sum(((F.col("doc_id") > c).cast("int") for c in hot), F.lit(0))
+    docs_b = docs_b.withColumn("p", F.coalesce(2 * below + one.cast("int"), F.lit(0)))
+    docs_b = docs_b.withColumn("c", F.when(none | one, F.shiftright("h", 64 - HOT_BITS)).otherwise(0).cast("int"))
+    place = ["s", "b", "p", "c"]
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")).alias("first")
+    buckets = docs_b.groupBy(*place).agg(first).select(*place, F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
     # The bucket before: in the same range, else the last of the range before, else (for the first of all) the last of all.
-    ranges = buckets.groupBy("s").agg(F.max("b").alias("last_b"))  # at most SPLITS + 1 rows
+    at = F.struct(*place)
+    ranges = buckets.groupBy("s").agg(F.max(at).alias("range_end"))  # at most SPLITS + 1 rows
     order = Window.orderBy("s")
     whole = Window.partitionBy(F.lit(1))
-    ranges = ranges.withColumn("range_end", F.struct("s", F.col("last_b").alias("b"))).select(
-        "s", F.coalesce(F.lag("range_end").over(order), F.max("range_end").over(whole)).alias("before")
-    )
-    inner = F.lag(F.struct("s", "b")).over(Window.partitionBy("s").orderBy("b"))
-    sent = buckets.select("s", "first_id", inner.alias("prev")).join(ranges, "s").select("first_id", F.coalesce("prev", "before").alias("prev"))
-    sentinels = docs.join(sent, docs.doc_id.eqNullSafe(sent.first_id)).select("doc_id", "text", F.col("prev.s").alias("s"), F.col("prev.b").alias("b"), F.lit(1).alias("sentinel"))
-    every = docs_b.select("doc_id", "text", "s", "b", F.lit(0).alias("sentinel")).unionByName(sentinels)
-    ahead = F.lead("text").over(Window.partitionBy("s", "b").orderBy("sentinel", "doc_id", "text"))
+    ranges = ranges.select("s", F.coalesce(F.lag("range_end").over(order), F.max("range_end").over(whole)).alias("before"))
+    inner = F.lag(at).over(Window.partitionBy("s").orderBy(*place[1:]))
+    sent = buckets.select("s", "first_id", "first_h", inner.alias("prev")).join(ranges, "s").select("first_id", "first_h", F.coalesce("prev", "before").alias("prev"))
+    sentinels = docs.join(sent, docs.doc_id.eqNullSafe(sent.first_id) & (docs.h == sent.first_h)).select("doc_id", "h", "text", *(F.col(f"prev.{x}").alias(x) for x in place))
+    sentinels = sentinels.dropDuplicates([*place, "doc_id", "h"]).withColumn("sentinel", F.lit(1))  # equal rows need one
+    every = docs_b.select("doc_id", "h", "text", *place, F.lit(0).alias("sentinel")).unionByName(sentinels)
+    ahead = F.lead("text").over(Window.partitionBy(*place).orderBy("sentinel", "doc_id", "h", "text"))
     return every.withColumn("next_text", ahead).filter("sentinel = 0").select("doc_id", "text", "next_text")
 
 

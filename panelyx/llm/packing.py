@@ -11,8 +11,8 @@ every sequence is a pattern of a program's basis; best-fit patterns only start a
 
 Patterns meet documents through ranks: within a length documents are ranked by id, pattern j takes a range of ranks of
 each of its lengths, and sequence and offset follow from the rank by arithmetic. Ranks come in two steps, so that a
-length that a third of the rows have is not one task's work: a rank inside (bucket of id, length), plus the length's
-count in the buckets before.
+length that a third of the rows have is not one task's work, nor an id that they share: a rank inside (bucket of id and
+content, length), plus the length's count in the buckets before.
 
 Null texts count as empty (the separator only); null ids and repeated rows are packed each; an empty table gives an
 empty result; other columns are ignored.
@@ -276,7 +276,7 @@ def pack(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, one row a piece."""
     spark = docs.sparkSession
     m = materialise(measure(docs, path, pattern), "pieces").withColumn("rest", (F.col("doc_tokens") % SEQUENCE).cast("int")).withColumn("full", F.col("doc_tokens").cast("long") - F.col("rest"))
-    m = m.withColumn("full", (F.col("full") / SEQUENCE).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4 * parallelism(spark))).cast("int"))
+    m = m.withColumn("full", (F.col("full") / SEQUENCE).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(4 * parallelism(spark))).cast("int"))
     counts = m.groupBy("rest", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
     histogram = {r.rest: (r.n, r.f) for r in counts.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).collect()}  # at most SEQUENCE rows
     patterns = plan({n: c[0] for n, c in histogram.items()})

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelyx.llm import bpe, fingerprints, language, packing, token_counts, toxicity, urls
@@ -169,15 +170,33 @@ def slow_marks(text, hash_of):
     return out
 
 
+def by_place(row):
+    """The order of documents: null ids first, rows of one id by the signed hash of their text."""
+    i, t = row
+    return i is not None, i or 0, int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)), t
+
+
+@pytest.mark.parametrize("rows", [3, 512])
+def test_next_document_with_frequent_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", rows)
+    rng = random.Random(15)
+    ids = [None] * 300 + [50] * 300 + [51] * 100 + [rng.randint(0, 100) for _ in range(200)] + [10**12, -(10**9)]
+    rows_ = [(i, f"text {k}") for k, i in enumerate(ids)] + [(50, "text 300"), (None, "text 7"), (None, "text 7")]
+    got = fingerprints.with_next(spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(rows_, key=by_place)
+    want = [(*row, order[(k + 1) % len(order)][1]) for k, row in enumerate(order)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_winnowing_against_brute_force(spark):
     texts = odd_texts() + ["one two one two one two one two one two", " ".join(["same"] * 40)]
     ids = [None, 7, 7, *range(100, 100 + len(texts) - 3)]
     df = fingerprints.fingerprint_documents(frame(spark, texts, ids))
     got = df.select("doc_id", "text", "n_chars", "next_text", "edited", "marks", fingerprints.positions(F.col("marks")).alias("pos")).collect()
-    order = sorted(zip(ids, [t or "" for t in texts]), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    order = sorted(zip(ids, [t or "" for t in texts]), key=by_place)
     follow = {(i, t): order[(k + 1) % len(order)][1] for k, (i, t) in enumerate(order)}
     units = {r.t: r.u for r in df.select(F.col("text").alias("t"), fingerprints.units_of(F.col("text")).alias("u")).collect()}
-    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in got) == [(i is not None, i or 0, t) for i, t in order]
+    assert sorted(((r.doc_id, r.text) for r in got), key=by_place) == order
     for r in got:
         assert r.next_text == follow[r.doc_id, r.text] and r.n_chars == len(r.text)
         half = len(r.text) // 2
