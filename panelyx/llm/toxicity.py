@@ -36,6 +36,8 @@ from .words import WordCache
 #: Rows and characters of class 1, and how many times that of class 0.
 TRAIN_DOCS, TRAIN_CHARS, NEGATIVES = 1_200, 4_000_000, 2
 BUCKETS, DIM, SCALE, STEPS, RATE, DECAY = 1 << 17, 8, 200.0, 120, 0.05, 3e-5
+#: Entries of a sparse matrix that are gathered at a time.
+PORTION = 200_000
 
 
 def features(word: str) -> list[int]:
@@ -48,31 +50,41 @@ def features(word: str) -> list[int]:
     return [x % BUCKETS for x in out]
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums over ranges that begin at starts (none empty)."""
-    return np.add.reduceat(values, starts, axis=0)
-
-
 class _Mean:
-    """A sparse matrix of weighted means, applied forwards and backwards with gathers and ordered sums."""
+    """A sparse matrix of weighted means, applied forwards and backwards by gathers and ordered sums, some entries at a time."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, n_rows: int):
-        self.n_rows, self.rows = n_rows, rows[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))]
-        self.cols, self.weight, self.starts = cols, weight[:, None], np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        """rows ascend; every row and column that occurs has entries."""
+        self.n_rows = n_rows
+        self.ahead = self._ordered(rows, cols, weight)
         back = np.argsort(cols, kind="stable").astype(np.int32)
-        self.rows_back, self.weight_back = rows[back], weight[back][:, None]
-        c = cols[back]
-        self.starts_back = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        self.used = c[self.starts_back]
+        self.behind = self._ordered(cols[back], rows[back], weight[back])
+        self.used = self.behind[0]
+
+    @staticmethod
+    def _ordered(of: np.ndarray, take: np.ndarray, weight: np.ndarray) -> tuple:
+        """(what occurs in `of`, where its entries begin, what they take, their weights, limits of the portions)."""
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        limits = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(of), PORTION)), len(starts)))
+        return of[starts], np.append(starts, len(of)), take, weight[:, None], limits
+
+    @staticmethod
+    def _sums(x: np.ndarray, ordered: tuple) -> np.ndarray:
+        of, starts, take, weight, limits = ordered
+        out = np.empty((len(of), x.shape[1]), np.float32)
+        for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+            lo, hi = starts[a], starts[b]
+            out[a:b] = np.add.reduceat(x[take[lo:hi]] * weight[lo:hi], starts[a:b] - lo, axis=0)
+        return out
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n_rows, x.shape[1]), np.float32)
-        out[self.rows] = _sums(x[self.cols] * self.weight, self.starts)
+        out[self.ahead[0]] = self._sums(x, self.ahead)
         return out
 
     def backward(self, g: np.ndarray) -> np.ndarray:
         """Gradients of the used columns."""
-        return _sums(g[self.rows_back] * self.weight_back, self.starts_back)
+        return self._sums(g, self.behind)
 
 
 class SubwordModel:
