@@ -11,6 +11,7 @@ from . import frames as S
 from . import grids
 from .catalogue_events import METRICS, backtest_sql, lag, metrics_sql, rank_sql, ret, roll, show_metrics, shown, w, weights_sql
 from .frames import LINE_MEMBER, LINE_PANEL, LINE_ROWS, ntz, r8, universe_sql
+from .settings import ResearchSettings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -436,7 +437,7 @@ c AS (SELECT *, CASE WHEN nv >= 6 THEN round(CASE transform WHEN 'rank' THEN rv
 SELECT sm.config, n_obs, {r8('mean_ic', 'mean_ic')}, {r8('nw', 't_stat_ic_nw', 6)}, {r8('sqrt(ppy) * sn', 'sharpe_net', 6)}, coalesce(n, 0) AS n_periods FROM sm LEFT JOIN bt_m USING (config)"""
 
 
-REVERSAL = [c | {"raw": f"v{c['lookback']}", "lag": selection.ic_lag(c["holding"], c["lookback"])} for c in selection.grid(lookback=[2, 5], holding=[1, 3], transform=["zscore", "rank"], top_n=[10])]
+REVERSAL = ResearchSettings(momentum_lookback_grid_bars=(1, 2, 4, 6), holding_period_grid_bars=(1, 2, 3, 4), cross_sectional_transform_grid=("rank",), universe_top_n_grid=(8, 10)).reversal_configs()
 MOMENTUM = [c | {"raw": f"v{c['horizon']}_{c['skip']}", "lag": selection.ic_lag(c["holding"], c["horizon"])} for c in selection.grid(horizon=[5, 10], skip=[1], holding=[5], transform=["zscore", "none"], top_n=[8, 10])]
 
 
@@ -455,7 +456,7 @@ def _cells_sql(configs: list[dict], label, raw) -> str:
 
 @add("reversal_grid", grid_sql(_cells_sql(REVERSAL, reversal_label, lambda c: f"-({ret(c['lookback'])})")))
 def reversal_grid(spark, sf):
-    return _grid(spark, sf, {f"v{k}": -bar_return("close", k) for k in (2, 5)}, REVERSAL, reversal_label)
+    return _grid(spark, sf, {c["raw"]: -bar_return("close", c["lookback"]) for c in REVERSAL}, REVERSAL, reversal_label)
 
 
 @add("momentum_grid", grid_sql(_cells_sql(MOMENTUM, momentum_label, lambda c: skipped("sum", "r", c["horizon"], c["skip"]))))
