@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_symbol, by_time, div, pct_rank
+from .ic import periods_per_year
 
 
 def _sides(long: Column, short: Column) -> Column:
@@ -155,7 +156,7 @@ def backtest_metrics(periods: DataFrame, keys: tuple[str, ...] = (), per_year: f
     """One row a key: Sharpe ratios, drawdown, turnover, costs, exposure, counts."""
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("ts")
     x = with_curves(periods, keys).withColumn("step", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)) / 1e6)
-    ppy = F.lit(float(per_year)) if per_year else F.coalesce(F.lit(365.0 * 86400.0) / F.nullif(F.median("step"), F.lit(0.0)), F.lit(365.0))
+    ppy = F.lit(float(per_year)) if per_year else periods_per_year("step")
     sharpe = lambda v: F.sqrt(F.col("ppy")) * div(F.col(f"m_{v}"), F.col(f"s_{v}"))
     agg = x.groupBy(*keys).agg(
         ppy.alias("ppy"), *(f(v).alias(f"{k}_{v}") for v in ("net", "gross") for k, f in (("m", F.avg), ("s", F.stddev_samp))),

@@ -120,6 +120,19 @@ def quantile_spread(buckets: DataFrame, forward: str, n: int) -> DataFrame:
     return buckets.groupBy("ts").agg((mean_of(n) - mean_of(1)).alias("spread"))
 
 
-def periods_per_year(series: DataFrame) -> Column:
-    """Aggregate: 365 days over the median step; `step` must hold seconds to the row before."""
-    return F.coalesce(F.lit(365.0 * 86400.0) / F.nullif(F.median("step"), F.lit(0.0)), F.lit(365.0))
+def periods_per_year(step: str = "step") -> Column:
+    """Aggregate: 365 days over the median step (seconds to the row before); 365 without a positive one."""
+    median = F.median(step)
+    return F.coalesce(F.lit(365.0 * 86400.0) / F.when(median > 0, median), F.lit(365.0))
+
+
+def index_spacing(series: DataFrame, keys: tuple[str, ...] = (), ratio: float = 0.1) -> DataFrame:
+    """(keys, n, median_step, mean_step, periods_per_year, irregular) of a series' times.
+
+    irregular: mean and median step differ by more than `ratio` of the median, so that annualised figures mislead and
+    periods per year should be given instead. False where there are no two times.
+    """
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("ts")
+    x = series.select(*keys, "ts").distinct().withColumn("step", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)) / 1e6)
+    x = x.groupBy(*keys).agg(F.count("*").alias("n"), F.median("step").alias("median_step"), F.avg("step").alias("mean_step"), periods_per_year().alias("periods_per_year"))
+    return x.withColumn("irregular", F.coalesce(F.abs(div(F.col("mean_step") - F.col("median_step"), F.col("median_step"))) > ratio, F.lit(False)))

@@ -328,6 +328,21 @@ def rolling_realized_beta(spark, sf):
     return ntz(x.select("ts", rounded("rolling_beta", 6).alias("rolling_beta")))
 
 
+def spacing_sql(source: str, name: str) -> str:
+    return f"""SELECT '{name}' AS series, count(*) AS n, {r8('median(st)', 'median_step', 3)}, {r8('avg(st)', 'mean_step', 3)}, {r8('coalesce(365.0 * 86400 / nullif(median(st), 0), 365)', 'periods_per_year', 6)},
+coalesce(abs((avg(st) - median(st)) / nullif(median(st), 0)) > 0.1, false) AS irregular FROM (SELECT epoch(ts - lag(ts) OVER (ORDER BY ts)) AS st FROM (SELECT DISTINCT ts FROM {source}))"""
+
+
+@add("index_spacing", f"{L.RETURNS}, {backtest_sql('rl', 5)} {spacing_sql('bt', 'periods')} UNION ALL {spacing_sql('u', 'universe').replace('SELECT DISTINCT ts FROM u', 'SELECT DISTINCT CAST(rebalance_date AS TIMESTAMP) AS ts FROM u')} UNION ALL {spacing_sql('bt WHERE day(ts) < 8', 'first_weeks')}")
+def index_spacing(spark, sf):
+    """Periods per year of three series, and whether their spacing is too irregular for it."""
+    bt = L._periods(spark, sf).select("ts")
+    u = S.line_universe(spark, sf).select(F.col("rebalance_date").cast("timestamp").alias("ts"))
+    named = lambda df, n: df.withColumn("series", F.lit(n))
+    x = ic.index_spacing(named(bt, "periods").unionByName(named(u, "universe")).unionByName(named(bt.filter(F.dayofmonth("ts") < 8), "first_weeks")), ("series",))
+    return x.select("series", "n", rounded("median_step", 3).alias("median_step"), rounded("mean_step", 3).alias("mean_step"), rounded("periods_per_year", 6).alias("periods_per_year"), "irregular")
+
+
 # ---- execution prices, held per delay
 
 

@@ -279,6 +279,17 @@ def test_catalogue_is_complete_and_oracles_parse(spark):
         con.sql(f"explain {sql}")
 
 
+def test_index_spacing(spark):
+    import datetime as dt
+
+    day = lambda k: dt.datetime(2023, 1, 1) + dt.timedelta(days=k)
+    rows = [("even", day(k)) for k in range(10)] + [("gap", day(k)) for k in (0, 1, 2, 3, 30)] + [("one", day(0))]
+    got = {r.k: r for r in ic.index_spacing(spark.createDataFrame(rows, "k string, ts timestamp"), ("k",)).collect()}
+    assert (got["even"].periods_per_year, got["even"].irregular) == (365.0, False)
+    assert (got["gap"].periods_per_year, got["gap"].irregular, got["gap"].mean_step) == (365.0, True, 7.5 * 86400)
+    assert (got["one"].n, got["one"].periods_per_year, got["one"].irregular) == (1, 365.0, False)
+
+
 def test_align_and_top(spark):
     p = long(spark, {"A": [1.0, 2.0]})
     other = p.filter("bar_id = 1").select("ts", "symbol", F.lit(9.0).alias("v"))
