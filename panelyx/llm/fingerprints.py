@@ -31,31 +31,35 @@ from .common import table
 K, W = 5, 4
 #: The prime 2^31 - 1 and a base below it: products stay below 2^62.
 PRIME, BASE = 2147483647, 1103515245
-#: Scripts that put no spaces between words.
-UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
+#: Code points of scripts that put no spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han), as ranges: asking for
+#: the script of every character is many times slower. No smaller code point is among them.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
+HIGH = r"[\x{0E00}-\x{323AF}]"
 SPLITS, BUCKET_ROWS, HOT_BITS = 64, 512, 10
 
 
 def units_of(text: Column) -> Column:
     """The units of a text; without a white space or a character of UNSPACED the text is one unit."""
-    cut = F.when(F.regexp_like(text, F.lit(UNSPACED)), F.split(text, rf"\s+|(?<={UNSPACED})|(?={UNSPACED})")).otherwise(F.split(text, r"\s+"))
+    cut = F.when(F.regexp_like(text, F.lit(HIGH)) & F.regexp_like(text, F.lit(UNSPACED)), F.split(text, rf"\s+|(?<={UNSPACED})|(?={UNSPACED})")).otherwise(F.split(text, r"\s+"))
     return F.transform(cut, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
 
 
 def with_grams(df: DataFrame, units: str, out: str, k: int = K) -> DataFrame:
     """Adds `out`: the rolling hash of the k units from each position on (units past the end count as 0)."""
-    of, n, made = {1: units}, 1, []
-    join = lambda left, right, size: f"transform({left}, (x, i) -> (x * {pow(BASE, size, PRIME)}L + coalesce(get({right[0]}, i + {right[1]}), 0L)) % {PRIME}L)"
+    made, of, n = [f"{out}_1"], {1: f"{out}_1"}, 1
+    df = df.withColumn(of[1], F.expr(f"concat({units}, array_repeat(0L, {k - 1}))"))
+    # Positions from which not all units lie inside the padded array give null and are cut off at the end.
+    join = lambda left, right, at, size: f"transform({left}, (x, i) -> (x * {pow(BASE, size, PRIME)}L + get({right}, i + {at})) % {PRIME}L)"
     while 2 * n <= k:  # grams of 2, 4, 8, ... units
         of[2 * n] = f"{out}_{2 * n}"
         made.append(of[2 * n])
-        df = df.withColumn(of[2 * n], F.expr(join(of[n], (of[n], n), n)))
+        df = df.withColumn(of[2 * n], F.expr(join(of[n], of[n], n, n)))
         n *= 2
     have, name = n, of[n]
     while have < k:  # the rest by the binary digits of k
         n = max(x for x in of if x <= k - have)
         made.append(f"{out}_and_{have + n}")
-        df = df.withColumn(made[-1], F.expr(join(name, (of[n], have), n)))
+        df = df.withColumn(made[-1], F.expr(join(name, of[n], have, n)))
         have, name = have + n, made[-1]
     return df.withColumn(out, F.expr(f"slice({name}, 1, greatest(size({units}) - {k - 1}, 1))")).drop(*made)
 
