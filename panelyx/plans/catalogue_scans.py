@@ -119,10 +119,11 @@ f1 AS (SELECT ts, member, fwd, fwd - avg(fwd) FILTER (WHERE member) OVER (PARTIT
 @add("momentum_scan", _momentum_scan_sql())
 def momentum_scan(spark, sf):
     """35 features at five horizons; relative features are scored against demeaned forward returns."""
-    p = signals.feature_pack(L._betas(spark, sf), list(HORIZONS), "L01", 14, mask="member")
+    p = S.with_forward(L._betas(spark, sf), 5)
     for h in HORIZONS:
         p = p.withColumns({f"{k}_{h}": v for k, v in features.residual_momentum("resid", h, 1).items()})
-    p = S.with_forward(p, 5).withColumn("dfwd", panel.demean("fwd", F.col("member"))).filter("member")
+    p = signals.feature_pack(p, list(HORIZONS), "L01", 14, mask="member")
+    p = p.withColumn("dfwd", panel.demean("fwd", F.col("member"))).filter("member")
     of = {f: [signals.feature_column(f, h, v, list(HORIZONS)) for v in vs for h in HORIZONS] for f, vs in VARIANTS.items()}
     lag_of = lambda n: max(5, int(n.rpartition("_")[2])) - 1
     plain = scan(S.held(p), [n for f in of if f != "relative" for n in of[f]], lag_of, {"": "fwd"})
@@ -170,13 +171,14 @@ def reversal_scan(spark, sf):
     """All nine reversal families and the momentum comparators, by close-to-close and by tradable returns."""
     p = S.event_panel(spark, sf)
     names = signals.reversal_names(REVERSALS)
-    for n in names:
+    p = S.with_forward(p, 2).withColumns({f"momentum_core_h{h}": bar_return("close", h) for h in REVERSALS})
+    p = p.withColumns({f"momentum_ret_over_vol_h{h}": features.vol_adjusted(f"momentum_core_h{h}", 14)["ret_over_vol"] for h in REVERSALS})
+    across = [n for n in names if "xsec" in n]  # what looks along a symbol comes first
+    for n in [n for n in names if n not in across] + across:
         p = signals.reversal_feature(p, n, SETTINGS)
-    for h in REVERSALS:
-        p = p.withColumn(f"momentum_core_h{h}", bar_return("close", h))
-        p = p.withColumns({f"momentum_xsec_mean_h{h}": panel.demean(f"momentum_core_h{h}"), f"momentum_ret_over_vol_h{h}": features.vol_adjusted(f"momentum_core_h{h}", 14)["ret_over_vol"]})
+    p = p.withColumns({f"momentum_xsec_mean_h{h}": panel.demean(f"momentum_core_h{h}") for h in REVERSALS})
     ex = execution.exec_forward(execution.exec_panel(S.event_panel(spark, sf), execution.exec_closes(S.minute_rows(spark, sf), 5)), 2, direct_only=False).select("ts", "symbol", F.col("exec_fwd").alias("ex"))
-    return scan(panel.align(S.with_forward(p, 2), ex), names + COMPARED, _scan_lag, {"": "fwd", "tradable_": "ex"})
+    return scan(panel.align(p, ex), names + COMPARED, _scan_lag, {"": "fwd", "tradable_": "ex"})
 
 
 # ---- the slow banded book

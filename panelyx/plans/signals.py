@@ -33,12 +33,15 @@ def residual_signal(p: DataFrame, returns: str, beta: str, market: str, horizon:
 
 
 def feature_pack(p: DataFrame, horizons: list[int], benchmark: str, vol_window: int = 24, log: bool = True, space: str = "log", skip: int = 0, mask: str | None = None) -> DataFrame:
-    """One wide-by-feature frame: core_h, and per horizon the relative and volatility-adjusted features."""
+    """One wide-by-feature frame: core_h, and per horizon the relative and volatility-adjusted features.
+
+    What looks along a symbol comes first for all horizons, then what looks across symbols: two exchanges in all.
+    """
     p = p.withColumns({f"core_{h}": bar_return("close", h, skip, log) for h in horizons})
+    p = p.withColumns({f"{n}_{h}": v for h in horizons for n, v in features.vol_adjusted(f"core_{h}", vol_window).items()})
     for h in horizons:
         p = features.relative_returns(p, f"core_{h}", benchmark, space, log, mask)
         p = p.withColumnsRenamed({n: f"{n}_{h}" for n in ("minus_xsec_mean", "minus_benchmark")})
-        p = p.withColumns({f"{n}_{h}": v for n, v in features.vol_adjusted(f"core_{h}", vol_window).items()})
     return p
 
 
