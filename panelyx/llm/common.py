@@ -61,6 +61,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """For the smaller side of a join that grows with the input: joined by a shuffle, never collected by the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def crc32_of_id(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id written as text; null ids count as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,9 +1,11 @@
-"""Connected components of a graph given as a table of links, by hooking and pointer jumping.
+"""Connected components of a graph given as a table of links, by hooking, pointer jumping and contraction.
 
-Links are pairs of ids (long). Each round hooks neighbours and their roots to the smallest root they know and then lets
-every vertex take its root's root; the table is written to the shared folder after each round, so lineage stays short and a lost executor costs one round. Nothing but counts reaches
-the driver. A vertex with very many links is no single task's burden: minima are aggregated before the shuffle, and the
-joins that follow can be split by the adaptive planner.
+Links are pairs of ids (long). In each round every vertex hooks to its smallest neighbour (or stays, if it is smaller than
+all), pointers jump until each vertex has the root of its tree, and the links are contracted: their ends become roots,
+those within a tree and repeated ones vanish. A vertex that stays alone in a round has only smaller neighbours in the
+next, so every two rounds at least halve the vertices, and links are read in full in the first round only. All is written to the shared folder after each step, so lineage stays short and a lost executor
+costs one step. Nothing but counts reaches the driver, joins included: none is a broadcast. A vertex with very many links
+is no single task's burden: minima are aggregated before the shuffle, and the joins can be split by the adaptive planner.
 """
 
 from __future__ import annotations
@@ -11,30 +13,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffled
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: (a, b). Returns (v, root) for each vertex that has a link: root is the smallest id it can reach.
+def oriented(links: DataFrame) -> DataFrame:
+    """(a, b), a < b, each once, without null ends and loops; written."""
+    e = links.filter("a is not null and b is not null and a <> b")
+    return materialise(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
-    Rounds: every vertex takes the smallest root among itself and its neighbours' roots, then the root's own root
-    (pointer jumping), until nothing changes. Null ends and loops are ignored; repeated links do no harm.
-    """
-    e = links.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = materialise(e, "links")
-    if e.isEmpty():
-        return e.select(F.col("a").alias("v"), F.col("b").alias("root"))
+
+def hooked(e: DataFrame) -> DataFrame:
+    """(v, root) for the vertices of e: root is the root of v's tree when all hook to the smallest they are linked to."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("v"), "root"), "roots")
+    trees = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root")), "trees")
     while True:
-        near = both.join(state, both.b == state.v).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        hooked = state.join(near, "v").select("v", "root", F.least("root", "near").alias("best"))
-        # The old root learns the best root that any of its members found, too.
-        told = hooked.groupBy("root").agg(F.min("best").alias("told"))
-        hooked = hooked.join(told, "root").select("v", "root", F.least("best", "told").alias("best"))
-        up = state.select(F.col("v").alias("best"), F.col("root").alias("above"))
-        new = hooked.join(up, "best", "left").select("v", F.least("best", F.coalesce("above", "best")).alias("root"), (F.least("best", F.coalesce("above", "best")) < F.col("root")).alias("moved"))
-        new = materialise(new, "roots")
-        state = new.select("v", "root")
+        up = trees.select(F.col("v").alias("root"), F.col("root").alias("above"))
+        new = trees.join(shuffled(up), "root").select("v", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved"))
+        new = materialise(new, "trees")
+        trees = new.select("v", "root")
         if new.filter("moved").isEmpty():
-            return state
+            return trees
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links: (a, b). Returns (v, root) for each vertex that has a link: root is the smallest id it can reach.
+
+    Null ends and loops are ignored; repeated links do no harm.
+    """
+    e = oriented(links)
+    state = None
+    while not e.isEmpty():
+        trees = hooked(e)
+        if state is None:
+            state = trees
+        else:
+            up = trees.select(F.col("v").alias("root"), F.col("root").alias("above"))
+            state = materialise(state.join(shuffled(up), "root", "left").select("v", F.coalesce("above", "root").alias("root")), "roots")
+        for end in ("a", "b"):
+            e = e.join(shuffled(trees.select(F.col("v").alias(end), F.col("root").alias(f"{end}_"))), end)
+        e = oriented(e.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+    return state if state is not None else e.select(F.col("a").alias("v"), F.col("b").alias("root"))

@@ -12,7 +12,8 @@ counts that are estimated from the sample's distance distribution in each part,
 signatures that a part's radius needs. Each fingerprint is put into the buckets of its part values within t_i
 (enumerated), and candidates of a bucket are verified on all 64 bits in numpy. A bucket is cut into blocks of BLOCK rows
 and pairs of blocks are tasks of their own, so no bucket lands in one task; what leaves a task is a spanning forest of
-the links found there, not all of them. Comparing all pairs of a bucket is quadratic, so fingerprints of a bucket of over
+the links found in all its buckets, not all of them, and of the links between two blocks only those that join what the
+blocks' own links leave apart: a bucket of copies gives about a link a row and one a pair of blocks. Comparing all pairs of a bucket is quadratic, so fingerprints of a bucket of over
 DENSE rows are linked in another way, which is linear and as exact: each goes to all 64-bit values within b bits, and at
 each value all that have come are linked to the smallest of those within a bits, where a + b = tau and a is half of it.
 Such links span at most tau bits, and two fingerprints within tau bits have a value between them that is within a bits of
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, short_batches, table, trim
+from .common import materialise, short_batches, shuffled, table, trim
 from .graph import components
 
 TAU, SHINGLE, SEED = 3, 3, 42
@@ -163,23 +164,37 @@ def signatures(fps: np.ndarray, plan: list[tuple[list[int], int]]) -> Iterator[t
                 yield k, base ^ np.uint64(sum(1 << b for b in flip))
 
 
-def forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, tau: int = TAU) -> list[tuple[int, int]]:
-    """Links within tau between ids a (bits x) and ids b (bits y), reduced to a spanning forest."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while (p := root.setdefault(v, v)) != v:
-            root[v] = root[p]
-            v = root[v]
-        return v
-
-    out = []
-    for lo in range(0, len(a), 256):
-        i, j = np.nonzero(np.bitwise_count(x[lo : lo + 256, None] ^ y[None, :]) <= tau)
-        for u, v in zip(a[i + lo].tolist(), b[j].tolist(), strict=True):
-            if (p := find(u)) != (q := find(v)):
-                root[max(p, q)] = min(p, q)
-                out.append((u, v))
+def join(root: dict[int, int], u: int, v: int) -> bool:
+    """Joins the trees of u and v; whether they were two."""
+    ends = []
+    for x in (u, v):
+        while (p := root.setdefault(x, x)) != x:
+            root[x] = root[p]
+            x = root[x]
+        ends.append(x)
+    root[max(ends)] = min(ends)
+    return ends[0] != ends[1]
+
+
+def find(root: dict[int, int], v: int) -> int:
+    while (p := root.get(v, v)) != v:
+        v = p
+    return v
+
+
+def forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, tau: int = TAU, root: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Links within tau between ids a (bits x) and ids b (bits y), reduced to a spanning forest; root: trees that are there already."""
+    root = {} if root is None else root
+    out, lo, step = [], 0, 16
+    while lo < len(a):
+        i, j = np.nonzero(np.bitwise_count(x[lo : lo + step, None] ^ y[None, :]) <= tau)
+        i += lo
+        if len(i) > 4 * (len(a) + len(b)):  # pairs of one tree need no walk each
+            i_, j_ = (np.array([find(root, v) for v in ids.tolist()]) for ids in (a, b))
+            apart = i_[i] != j_[j]
+            i, j = i[apart], j[apart]
+        out += [(u, v) for u, v in zip(a[i].tolist(), b[j].tolist(), strict=True) if join(root, u, v)]
+        lo, step = lo + step, min(2 * step, 256)
     return out
 
 
@@ -215,7 +230,7 @@ def link(classes: DataFrame, tau: int = TAU) -> DataFrame:
 
     signed = classes.mapInPandas(sign, "part int, value long, v long, fp long")
     size = signed.groupBy("part", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = signed.join(size, ["part", "value"])
+    shared = signed.join(shuffled(size), ["part", "value"])
     held = shared.filter(F.col("n") <= DENSE).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     # A row of block i goes to the pairs (i, j) and (j, i), written low-high; a bucket of one block has the pair (0, 0).
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "value", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "v", "fp")
@@ -228,13 +243,17 @@ def link(classes: DataFrame, tau: int = TAU) -> DataFrame:
         keys = f[["part", "value", "p", "q"]].to_numpy()
         heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(f) else []
         v, bits, mine = f.v.to_numpy(), f.fp.to_numpy(np.int64).view(np.uint64), f.mine.to_numpy()
-        out = []
+        out, sent = [], {}  # sent: the trees of all links that leave this task, whatever their bucket
         for s, e in zip(heads, [*heads[1:], len(f)], strict=True):
             if keys[s, 2] == keys[s, 3]:
-                out += forest(v[s:e], v[s:e], bits[s:e], bits[s:e], tau)
+                out += forest(v[s:e], v[s:e], bits[s:e], bits[s:e], tau, sent)
             else:
+                # Links inside a block leave the task of that block; here they only tell which links between blocks are needed.
                 l, r = np.flatnonzero(mine[s:e] == keys[s, 2]) + s, np.flatnonzero(mine[s:e] == keys[s, 3]) + s
-                out += forest(v[l], v[r], bits[l], bits[r], tau)
+                own: dict[int, int] = {}
+                for k in (l, r):
+                    forest(v[k], v[k], bits[k], bits[k], tau, own)
+                out += [x for x in forest(v[l], v[r], bits[l], bits[r], tau, own) if join(sent, *x)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = dealt.groupBy("g").applyInPandas(verify, "a long, b long")
@@ -249,10 +268,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Classes of equal fingerprints. Vertices are numbered by fingerprint, so that classes of null ids only are vertices too.
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("v")), "classes")
     linked = components(link(classes.select(F.col("fp").alias("v"), "fp"))).withColumnRenamed("v", "fp")
-    least = linked.join(classes, "fp").groupBy("root").agg(F.min("v").alias("least"))
-    linked = linked.join(least, "root").select("fp", "least")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "v").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = linked.join(shuffled(classes), "fp").groupBy("root").agg(F.min("v").alias("least"))
+    linked = linked.join(shuffled(least), "root").select("fp", "least")
+    named = classes.join(shuffled(linked), "fp", "left").select("fp", F.coalesce("least", "v").alias("component_id"))
+    return marked.join(shuffled(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -266,9 +285,9 @@ def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("first")
     classes = materialise(marked.groupBy("fp").agg(first), "classes")
     roots = components(link(classes.select(F.col("fp").alias("v"), "fp"), tau))
-    named = classes.join(roots, classes["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    named = classes.join(shuffled(roots), classes["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    return numbered.join(shuffled(kept), row, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,38 @@ def test_simhash_index_finds_every_link(spark, monkeypatch, block, dense, tau):
     assert [roots.get(i, i) for i in range(len(fps))] == slow_components(fps, list(range(len(fps))), tau)
 
 
+@pytest.mark.parametrize("n", [60, 240])
+def test_links_of_a_large_group_grow_with_its_rows(spark, monkeypatch, n):
+    """Near copies of one text: about a link a row and task, not all that the pairs of blocks hold."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "plan_index", lambda fps, n, tau: [(list(range(60, 64)), tau)])  # one bucket holds them all
+    rng = random.Random(23)
+    fps = sorted({sum(1 << b for b in rng.sample(range(60), 2)) for _ in range(2 * n)})[:n]
+    links = simhash.link(spark.createDataFrame(list(enumerate(fps)), "v long, fp long"), 4)
+    blocks = -(-n // 16)
+    of_bucket = 16  # values that the one part's four bits can have: each is a bucket of all rows
+    assert links.count() <= of_bucket * (n + blocks * blocks)
+    assert {r.root for r in graph.components(links).collect()} == {0} and links.count() >= n - 1
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    """What is joined grows with the documents, so it must not pass through the driver, whatever the size it has here."""
+    plans = []
+
+    def spy(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, label)
+
+    materialise = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", spy)
+    monkeypatch.setattr(graph, "materialise", spy)
+    rng = random.Random(24)
+    docs = frame(spark, [prose(rng, 40) for _ in range(30)] * 2, list(range(60)))
+    spy(simhash.keep_one(docs.withColumn("n_chars", F.length("text")), 20), "kept")
+    spy(simhash.near_duplicates(docs), "classes")
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_pigeonhole_thresholds_suffice():
     rng = np.random.default_rng(0)
     sample = rng.integers(0, 2**63, 500).astype(np.int64)
