@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import div
+from ..functions.columns import div, log_return
 
 
 def exec_closes(minutes: DataFrame, delay_minutes: int, start=None, end=None, symbols: list[str] | None = None) -> DataFrame:
@@ -62,13 +62,12 @@ def fill_counts(x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return x.groupBy(*keys).agg(F.count("*").alias("cells"), n("direct").alias("direct_cells"), n("locf").alias("locf_cells"), n("fallback").alias("fallback_cells"), F.count(F.when(F.col("fill").isNull(), 1)).alias("empty_cells"))
 
 
-def exec_forward(x: DataFrame, holding: int, log: bool = True, direct_only: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+def exec_forward(x: DataFrame, holding: int, log: bool | str = True, direct_only: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds exec_fwd: return of the execution closes over the holding period, with direct fills at both ends if asked."""
     if holding <= 0:
         raise ValueError("the holding period must be positive")
     w = Window.partitionBy(*keys, "symbol").orderBy("bar_id")
-    ratio = div(F.lead("exec_close", holding).over(w), F.col("exec_close"))
-    r = F.ln(ratio) if log else ratio - 1
+    r = log_return(div(F.lead("exec_close", holding).over(w), F.col("exec_close")), log)
     if direct_only:
         r = F.when(F.col("direct") & F.lead("direct", holding, False).over(w), r)
     return x.withColumn("exec_fwd", r)
@@ -101,7 +100,7 @@ class ExecutionPrices:
     def diagnostics(self, delay: int) -> DataFrame:
         return fill_counts(self.close_panel(delay))
 
-    def forward_returns(self, delay: int, holding: int, log: bool = True) -> DataFrame:
+    def forward_returns(self, delay: int, holding: int, log: bool | str = True) -> DataFrame:
         return exec_forward(self.close_panel(delay), holding, log, direct_only=True)
 
     def release(self) -> None:

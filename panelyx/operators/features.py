@@ -35,7 +35,7 @@ def bollinger_touch(x: str, window: int, n_std: float = 2.0) -> Column:
     return F.when(low.isNotNull() & c(x).isNotNull(), F.when(c(x) < low, 1.0).when(c(x) > high, -1.0).otherwise(0.0))
 
 
-def vol_adjusted_move(x: str, r: str, horizon: int, window: int, log: bool = True) -> Column:
+def vol_adjusted_move(x: str, r: str, horizon: int, window: int, log: bool | str = True) -> Column:
     return div(-bar_return(x, horizon, log=log), rolling_std(r, window))
 
 
@@ -126,7 +126,7 @@ def composite(p: DataFrame, names: list[str], min_assets: int, min_features: int
     return p.withColumn("composite", F.when(held >= min_features, total / held)).drop(*z)
 
 
-def reversal_family(p: DataFrame, out: str, family: str, lookback: int, vol_window: int = 14, log: bool = True, mask: str | None = None) -> DataFrame:
+def reversal_family(p: DataFrame, out: str, family: str, lookback: int, vol_window: int = 14, log: bool | str = True, mask: str | None = None) -> DataFrame:
     """Adds `out`, one of four families at a lookback: minus the return, over the volatility if the family says so.
 
     The xsec families subtract the mean across symbols: xsec_reversal that of the mask's members, vol_adj_xsec_reversal

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_symbol, div
+from ..functions.columns import bar_return, by_symbol, div
 from .panel import bar_start
 
 #: Fixed value of the high-low estimator.
@@ -28,9 +28,9 @@ def corwin_schultz(high: str = "high", low: str = "low", floor: bool = True) ->
     return F.when(both, F.greatest(s, F.lit(0.0)) if floor else s)
 
 
-def roll_spread(p: DataFrame) -> DataFrame:
+def roll_spread(p: DataFrame, log: bool | str = True) -> DataFrame:
     """(symbol, roll_spread): from the lag-1 autocovariance of log returns; NULL where it is not negative or n < 3."""
-    r = p.withColumn("r", F.ln(div(F.col("close"), F.lag("close", 1).over(by_symbol())))).filter("r is not null")
+    r = p.withColumn("r", bar_return("close", log=log)).filter("r is not null")
     x = r.withColumn("before", F.lag("r", 1).over(by_symbol()))
     pair = F.col("before").isNotNull()
     a, b = F.when(pair, F.col("r")), F.when(pair, F.col("before"))

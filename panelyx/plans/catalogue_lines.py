@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bar_return, cross_section, forward_return, rounded
+from ..functions.columns import IEEE, bar_return, cross_section, forward_return, rounded
 from ..operators import book, features, ic, panel, quality, selection, universe
 from . import frames as S
 from . import grids
@@ -74,14 +74,14 @@ def momentum_score(spark, sf):
 @add("relative_momentum", f"""{LINE_MEMBER}, f AS (SELECT ts, symbol, member, {ret(5)} AS x FROM m)
 SELECT ts, symbol, {r8('x - avg(x) FILTER (WHERE member) OVER (PARTITION BY ts)', 'minus_xsec_mean')}, {r8("x - max(x) FILTER (WHERE symbol = 'L01') OVER (PARTITION BY ts)", 'minus_benchmark')} FROM f""")
 def relative_momentum(spark, sf):
-    p = panel.member_mask(S.line_panel(spark, sf).withColumn("x", bar_return("close", 5)), S.line_universe(spark, sf))
+    p = panel.member_mask(S.line_panel(spark, sf).withColumn("x", bar_return("close", 5, log=IEEE)), S.line_universe(spark, sf))
     return shown(features.relative_returns(p, "x", "L01", mask="member"), minus_xsec_mean="minus_xsec_mean", minus_benchmark="minus_benchmark")
 
 
 @add("vol_adjusted_features", f"""{LINE_PANEL}, f AS (SELECT *, {ret(5)} AS x FROM p), g AS (SELECT ts, symbol, x, {roll('avg', 'x', 14)} AS m, {roll('stddev_pop', 'x', 14)} AS s FROM f)
 SELECT ts, symbol, {r8('s', 'rolling_vol')}, {r8('x / nullif(s, 0)', 'ret_over_vol', 6)}, {r8('(x - m) / nullif(s, 0)', 'zscored_return', 6)} FROM g""")
 def vol_adjusted_features(spark, sf):
-    p = S.line_panel(spark, sf).withColumn("x", bar_return("close", 5))
+    p = S.line_panel(spark, sf).withColumn("x", bar_return("close", 5, log=IEEE))
     v = features.vol_adjusted("x", 14)
     return ntz(p.select("ts", "symbol", rounded(v["rolling_vol"]).alias("rolling_vol"), *(rounded(v[k], 6).alias(k) for k in ("ret_over_vol", "zscored_return"))))
 
@@ -226,7 +226,7 @@ c AS (SELECT *, 'R' || lookback || '_H' || holding AS config FROM sg), {pairs_sq
 {summary_sql('x', 'greatest(lookback, holding) - 1', 'config')} SELECT config, n_obs, {r8('mean_ic', 'mean_ic')}, {r8('nw', 't_stat_ic_nw', 6)} FROM sm""")
 def ic_decay_matrix(spark, sf):
     """All cells in one job: (lookback, holding) is a group key."""
-    p = S.line_panel(spark, sf).withColumns({f"m{k}": F.round(features.momentum_score("r", k), 10) for k in LOOKS} | {f"f{h}": forward_return("close", h) for h in HOLDS})
+    p = S.line_panel(spark, sf).withColumns({f"m{k}": F.round(features.momentum_score("r", k), 10) for k in LOOKS} | {f"f{h}": forward_return("close", h, IEEE) for h in HOLDS})
     cells = p.select("ts", F.explode(F.array(*[F.struct(F.lit(f"R{k}_H{h}").alias("config"), F.lit(max(k, h) - 1).alias("nw"), F.col(f"m{k}").alias("sig"), F.col(f"f{h}").alias("fwd")) for k in LOOKS for h in HOLDS])).alias("x")).select("ts", "x.*")
     series = S.held(ic.ic_series(cells, "sig", "fwd", keys=("config", "nw")))
     se = ic.newey_west(series, "ic", F.col("nw"), ("config", "nw"), {max(k, h) - 1 for k in LOOKS for h in HOLDS})
@@ -456,7 +456,7 @@ def _cells_sql(configs: list[dict], label, raw) -> str:
 
 @add("reversal_grid", grid_sql(_cells_sql(REVERSAL, reversal_label, lambda c: f"-({ret(c['lookback'])})")))
 def reversal_grid(spark, sf):
-    return _grid(spark, sf, {c["raw"]: -bar_return("close", c["lookback"]) for c in REVERSAL}, REVERSAL, reversal_label)
+    return _grid(spark, sf, {c["raw"]: -bar_return("close", c["lookback"], log=IEEE) for c in REVERSAL}, REVERSAL, reversal_label)
 
 
 @add("momentum_grid", grid_sql(_cells_sql(MOMENTUM, momentum_label, lambda c: skipped("sum", "r", c["horizon"], c["skip"]))))
@@ -464,7 +464,7 @@ def momentum_grid(spark, sf):
     return _grid(spark, sf, {f"v{h}_1": features.momentum_score("r", h, 1) for h in (5, 10)}, MOMENTUM, momentum_label)
 
 
-FEATURES = {"reversal_h1": (lambda: -bar_return("close", 1), f"-({ret(1)})"), "ret_5": (lambda: bar_return("close", 5), ret(5)), "momentum_10": (lambda: features.momentum_score("r", 10), roll("sum", "r", 10)), "price_z_20": (lambda: features.price_zscore("close", 20), f"-(close - {roll('avg', 'close', 20)}) / nullif({roll('stddev_pop', 'close', 20)}, 0)")}
+FEATURES = {"reversal_h1": (lambda: -bar_return("close", 1, log=IEEE), f"-({ret(1)})"), "ret_5": (lambda: bar_return("close", 5, log=IEEE), ret(5)), "momentum_10": (lambda: features.momentum_score("r", 10), roll("sum", "r", 10)), "price_z_20": (lambda: features.price_zscore("close", 20), f"-(close - {roll('avg', 'close', 20)}) / nullif({roll('stddev_pop', 'close', 20)}, 0)")}
 
 
 @add("feature_scan", f"""{LINE_MEMBER}, c AS ({' UNION ALL '.join(f"SELECT ts, '{k}' AS feature, CASE WHEN member THEN round({s}, 6) END AS sig, fwd FROM (SELECT *, ln(lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_id) / nullif(close, 0)) AS fwd FROM m)" for k, (_, s) in FEATURES.items())}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import bar_return, rounded
+from ..functions.columns import IEEE, bar_return, rounded
 from ..operators import book, execution, features, ic, panel, spreads, universe
 from . import catalogue_lines as L
 from . import frames as S
@@ -31,8 +31,8 @@ def add(name: str, sql: str | None = None):
 j AS (SELECT c.*, ef.exec_any AS ex FROM c JOIN ef USING (ts, symbol)), {pairs_sql('j')}, {summary_sql('ics', '1')}, {pairs_sql('j', y='ex', name='icx')}, {summary_sql('icx', '1', name='sx')}
 SELECT sm.n_obs, {r8('sm.mean_ic', 'mean_ic')}, {r8('sm.nw', 't_stat_ic_nw', 6)}, {r8('sx.mean_ic', 'tradable_ic')}, {r8('sx.nw', 'tradable_t_nw', 6)}, {r8('1 - sx.mean_ic / nullif(sm.mean_ic, 0)', 'haircut', 6)} FROM sm, sx""")
 def feature_ic_row(spark, sf):
-    p = S.with_forward(S.event_panel(spark, sf).withColumn("sig", F.round(-bar_return("close", 2), 10)), 2)
-    ex = execution.exec_forward(execution.exec_panel(p, execution.exec_closes(S.minute_rows(spark, sf), 5)), 2, direct_only=False).select("ts", "symbol", "exec_fwd")
+    p = S.with_forward(S.event_panel(spark, sf).withColumn("sig", F.round(-bar_return("close", 2, log=IEEE), 10)), 2)
+    ex = execution.exec_forward(execution.exec_panel(p, execution.exec_closes(S.minute_rows(spark, sf), 5)), 2, IEEE, direct_only=False).select("ts", "symbol", "exec_fwd")
     x = ic.feature_ic(p.join(ex, ["ts", "symbol"]), "sig", "fwd", "exec_fwd", 1)
     return x.select("n_obs", rounded("mean_ic").alias("mean_ic"), rounded("t_stat_ic_nw", 6).alias("t_stat_ic_nw"), rounded("tradable_ic").alias("tradable_ic"), rounded("tradable_t_nw", 6).alias("tradable_t_nw"), rounded("haircut", 6).alias("haircut"))
 
@@ -98,7 +98,7 @@ def ex_ante_beta(spark, sf):
 k AS (SELECT 'all' AS cells, ts, symbol, sig, fwd FROM c UNION ALL SELECT 'traded', ts, symbol, CASE WHEN tr THEN sig END, fwd FROM c), {pairs_sql('k', keys='cells')}, {summary_sql('ics', '1', 'cells')}
 SELECT cells, n_obs, {r8('mean_ic', 'mean_ic')}, {r8('nw', 't_stat_ic_nw', 6)} FROM sm""")
 def stale_artifact(spark, sf):
-    p = panel.traded(S.with_forward(S.event_panel(spark, sf).withColumn("sig", F.round(-bar_return("close", 2), 10)), 1))
+    p = panel.traded(S.with_forward(S.event_panel(spark, sf).withColumn("sig", F.round(-bar_return("close", 2, log=IEEE), 10)), 1))
     x = p.withColumn("v", F.explode(F.array(F.struct(F.lit("all").alias("cells"), F.col("sig").alias("u")), F.struct(F.lit("traded").alias("cells"), panel.keep_traded("sig").alias("u"))))).select("ts", "symbol", "fwd", "v.*")
     s = ic.ic_summary(ic.ic_series(x, "u", "fwd", keys=("cells",)), nw_lag=1, keys=("cells",))
     return s.select("cells", "n_obs", rounded("mean_ic").alias("mean_ic"), rounded("t_stat_ic_nw", 6).alias("t_stat_ic_nw"))
@@ -108,7 +108,7 @@ def stale_artifact(spark, sf):
 sg AS (SELECT *, {REV2} AS sig, lead(close, 1) OVER (PARTITION BY symbol ORDER BY bar_id) / nullif(close, 0) - 1 AS realized FROM p), {weights_sql('sg', 'wt')}, {backtest_sql('wt', 1)}
 SELECT {r8('avg(gross) * 1e4', 'gross_bps', 4)}, {r8('2 * avg(turnover) * (SELECT avg(h) FROM hs)', 'floor_bps', 4)} FROM bt""")
 def bounce_floor(spark, sf):
-    p = S.event_panel(spark, sf).withColumns({"sig": F.round(-bar_return("close", 2), 10), "fwd": F.col("close")})
+    p = S.event_panel(spark, sf).withColumns({"sig": F.round(-bar_return("close", 2, log=IEEE), 10), "fwd": F.col("close")})
     p = S.with_forward(p, 1).withColumn("realized", F.exp("fwd") - 1).withColumn("cs", spreads.corwin_schultz())
     bt = book.backtest_periods(book.quantile_weights(p, "sig"), "w", "realized", 1, fee_bps=10.0).agg(F.avg("gross").alias("g"), F.avg("turnover").alias("t"), F.lit(1).alias("one"))
     h = spreads.half_spread_bps(p, "cs", "mean").agg(F.avg("half_spread_bps").alias("h"), F.lit(1).alias("one"))
